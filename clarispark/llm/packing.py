@@ -38,7 +38,7 @@ from clarispark.session import materialize, release
 CAPACITY, END_ID = 2048, 0
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 4, 4
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 
 # --- Documents to pieces --------------------------------------------------------------------------
 
@@ -91,29 +91,29 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > CACHED_WORDS:
-            self.words, self.parts = {}, {}
+            self.words.clear()
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
         cut = {}
         for w in words:
             if _PLAIN.fullmatch(w) and "<|" not in w:
-                cut[w] = _SPLIT.findall(unicodedata.normalize("NFC", w).lower())
+                low = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
+                cut[w] = (low,) if low.isalpha() else _SPLIT.findall(low)
             else:
                 self.words[w] = self._whole(w)
-        self._learn_parts(list({p for parts in cut.values() for p in parts} - self.parts.keys()))
+        self._learn_parts(list({p for parts in cut.values() for p in parts if p not in self.parts}))
         part = self.parts.__getitem__
-        self.words.update((w, b"".join(map(part, parts))) for w, parts in cut.items())
+        self.words.update((w, part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))) for w, parts in cut.items())
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        every: set[str] = set()
-        for words in split:
-            every.update(words or ())
-        if not every <= self.words.keys():
-            new = every - self.words.keys()
+        get = self.words.get
+        found = [words and list(map(get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if ids and None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if new:
             self._learn(new)
-            if not every <= self.words.keys():  # the tables were emptied
-                self._learn(every - self.words.keys())
-        word = self.words.__getitem__
-        return [self._whole(t) if words is None else b"".join(map(word, words)) for t, words in zip(texts, split, strict=True)]
+            found = [ids and [get(w) if i is None else i for w, i in zip(words, ids, strict=True)] if ids and None in ids else ids for words, ids in zip(split, found, strict=True)]
+        return [self._whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
