@@ -326,17 +326,14 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def _learn(self, tokens: set[str]) -> None:
-        new = tokens - self.known.keys()
+    def _learn(self, new: set[str]) -> None:
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = tokens
-        if new:
-            words = {t: t.strip(_EDGES) for t in new}
-            bare = list(set(words.values()) - {""})
-            margin = dict(zip(bare, self.model.margins(bare).tolist(), strict=True))
-            margin[""] = NOTHING
-            self.known.update((t, margin[w]) for t, w in words.items())
+            self.known.clear()
+        words = {t: t.strip(_EDGES) for t in new}
+        bare = list(set(words.values()) - {""})
+        margin = dict(zip(bare, self.model.margins(bare).tolist(), strict=True))
+        margin[""] = NOTHING
+        self.known.update((t, margin[w]) for t, w in words.items())
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         low = [(t or "").lower() for t in texts]
@@ -344,9 +341,13 @@ class Scorer:
         for t, tokens in zip(low, own, strict=True):
             if len([w for w in tokens if len(w) < 2]) > 1:
                 tokens.update("".join(m.split()) for m in _APART.findall(t))
-        self._learn(set().union(*own))
-        margin = self.known.__getitem__
-        return self.model.score(np.array([max(map(margin, x), default=NOTHING) for x in own]))
+        get = self.known.get
+        found = [list(map(get, tokens)) for tokens in own]
+        new = {w for tokens, m in zip(own, found, strict=True) if None in m for w, x in zip(tokens, m, strict=True) if x is None}
+        if new:
+            self._learn(new)
+            found = [[get(w) if x is None else x for w, x in zip(tokens, m, strict=True)] if None in m else m for tokens, m in zip(own, found, strict=True)]
+        return self.model.score(np.array([max(m, default=NOTHING) for m in found]))
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
