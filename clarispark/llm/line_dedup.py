@@ -5,6 +5,9 @@ a 128-bit hash; the first occurrence, by (doc_id, position), stays, and the posi
 later occurrences cover are merged per document and removed.  Every line that goes has an
 equal line that stays: it lies in an earlier occurrence of its window.
 
+Both joins are sort-merge joins at every size: their small sides grow with the corpus, so they
+are not broadcast where they happen to be small.
+
 Edge cases: a null text stays null and an empty one is a single empty line; texts of fewer
 than three lines have no window and stay as they are; a null doc_id sorts before every number;
 rows that share a doc_id count as one document when occurrences are ordered, and identical rows
@@ -58,7 +61,7 @@ def removed_positions(docs: DataFrame) -> DataFrame:
         .where("__ld_n > 1").select("__ld_w1", "__ld_w2", "__ld_first"),
         "repeated_windows",
     )
-    later = windows.join(repeated, ["__ld_w1", "__ld_w2"]).where(F.col("__ld_ord") > F.col("__ld_first"))
+    later = windows.join(repeated.hint("merge"), ["__ld_w1", "__ld_w2"]).where(F.col("__ld_ord") > F.col("__ld_first"))
     out = materialize(
         later.groupBy("__ld_id", "__ld_hash").agg(F.sort_array(F.collect_set("__ld_pos")).alias("__ld_starts")),
         "removed_windows",
@@ -72,7 +75,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     cut = removed_positions(docs)
     own = docs.withColumns({"__ld_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__ld_h": F.xxhash64("text")})
     cut = cut.select(F.coalesce("__ld_id", F.lit(-(2**63))).alias("__ld_k"), F.col("__ld_hash").alias("__ld_h"), "__ld_starts")
-    joined = own.join(cut, ["__ld_k", "__ld_h"], "left").withColumn("__ld_l", F.split("text", "\n", -1))
+    joined = own.join(cut.hint("merge"), ["__ld_k", "__ld_h"], "left").withColumn("__ld_l", F.split("text", "\n", -1))
     n = F.size("__ld_l")
     # The gaps between covered stretches: each ends where a later occurrence starts and begins WINDOW lines after the one before.
     gaps = F.arrays_zip(
