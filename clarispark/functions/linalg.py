@@ -27,9 +27,11 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 0) -> np.ndarray:
                 x[:] = 0
                 x[at] = z
                 break
-            bad = z <= 0
-            step = np.min(x[at][bad] / np.maximum(x[at][bad] - z[bad], 1e-300))
-            x[at] += step * (z - x[at])
+            ratio = np.full(len(at), np.inf)
+            ratio[z <= 0] = x[at][z <= 0] / np.maximum(x[at][z <= 0] - z[z <= 0], 1e-300)
+            out = int(np.argmin(ratio))
+            x[at] += ratio[out] * (z - x[at])
+            active[at[out]] = False  # at least one leaves, so the loop ends
             active[at[x[at] <= 1e-12]] = False
             x[~active] = 0
     return x
