@@ -43,7 +43,7 @@ BLOCK = 1 << 16
 #: Node pairs walked at a time, and the product of sizes at which a node pair is compared bit by bit.
 FRONTIER, DIRECT = 1 << 18, 64
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint(text: bytes) -> int:
@@ -67,11 +67,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         texts = b.column("text").cast(pa.binary()).to_pylist()
         fps = np.array([fingerprint(t or b"") for t in texts], np.uint64)
-        yield batch_of(FINGERPRINTS, [b.column("doc_id"), pa.array(fps.view(np.int64))])
+        yield batch_of(FINGERPRINTS, [b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprints, "doc_id long, fp long")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return arrow_map(named, _fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def near_nodes(depth: int) -> list[int]:
@@ -289,16 +290,32 @@ def links(distinct: DataFrame, leaf: int = LEAF, block: int = BLOCK) -> DataFram
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long), component_id for every row of docs."""
+    """doc_id, text_hash, fp (long), component_id and root (a fingerprint of the component) for every row of docs."""
     prints = materialize(fingerprints(docs), "fingerprints")
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fingerprints")
     roots = connected_components(links(firsts.select("fp")))
     grouped = firsts.join(roots, firsts["fp"] == roots["u"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     grouped = materialize(grouped, "grouped_fingerprints")
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = materialize(grouped.join(least, "root").select("fp", "component_id"), "components")
+    component = materialize(grouped.join(least, "root").select("fp", "component_id", "root"), "components")
     release(firsts, roots, grouped)
-    return prints.join(component, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(component, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id.
+
+    Of several rows with that doc_id, or of a component without any, one is chosen by a hash of
+    its text, so rows that only share an id, or have none, are told apart.  All columns pass
+    through; internal columns begin with ``__sh_``.
+    """
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(
+        found.groupBy("root").agg(F.min("component_id").alias("id"), F.min("text_hash").alias("__sh_h")).select(F.coalesce("id", F.lit(-(2**63))).alias("__sh_k"), "__sh_h"),
+        "kept",
+    )
+    own = docs.withColumns({"__sh_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__sh_h": F.xxhash64("text")})
+    return own.join(kept.hint("merge"), ["__sh_k", "__sh_h"], "left_semi").dropDuplicates(["__sh_k", "__sh_h"]).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
