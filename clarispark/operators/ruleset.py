@@ -12,6 +12,14 @@ from clarispark.operators.binarize import FeatureBinarizer, process_input
 from clarispark.operators.prep import binary_labels
 from clarispark.operators.signatures import covered, grow, signatures
 
+#: How many times a covered negative counts in the searches that look for exact rules first, and the beam's width.
+STRICT, WIDTH = (3, 8), 32
+
+
+def _times(sig, rules: list[tuple[int, ...]]) -> np.ndarray:
+    """How many rules cover each signature."""
+    return sum((covered(sig, r).astype(int) for r in rules), np.zeros(len(sig.truth), int))
+
 
 @dataclass
 class RuleSetLearner:
@@ -36,7 +44,10 @@ class RuleSetLearner:
         df, predicates = process_input(df, features, label, binarizer, is_fit=True)
         sig = signatures(df, predicates, label, self.most_predicates)
         pos, neg = sig.counts[:, sig.labels.index(positive)], sig.counts[:, sig.labels.index(negative)]
-        chosen = self._search(sig, pos, neg)
+        # Broad rules found first can block the exact ones, so searches that begin with exact rules are run beside the plain one.
+        starts = [[], *[self._search(sig, pos, times * neg, []) for times in STRICT]]
+        found = [self._search(sig, pos, neg, start) for start in starts]
+        chosen = min(found, key=lambda rs: self.value(sig, rs, pos, neg))
         self.model = RuleSet([Rule(tuple(sig.pool[j] for j in items), positive) for items in chosen], positive, negative)
         return self
 
@@ -46,14 +57,17 @@ class RuleSetLearner:
         again = np.maximum(times - 1, 0) * (pos + neg)
         return self.beta_pos * pos[~hit].sum() + self.beta_neg * neg[hit].sum() + self.beta_diverse * again.sum() + self.beta_complex * length
 
-    def _search(self, sig, pos: np.ndarray, neg: np.ndarray) -> list[tuple[int, ...]]:
-        rules: list[tuple[int, ...]] = []
-        times = lambda rs: sum((covered(sig, r).astype(int) for r in rs), np.zeros(len(sig.truth), int))
-        value = lambda rs: self.loss(times(rs), sum(map(len, rs)), pos, neg)
+    def value(self, sig, rules: list[tuple[int, ...]], pos: np.ndarray, neg: np.ndarray) -> float:
+        return self.loss(_times(sig, rules), sum(map(len, rules)), pos, neg)
+
+    def _search(self, sig, pos: np.ndarray, neg: np.ndarray, start: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+        """Adds, removes and replaces rules from ``start`` on until nothing improves."""
+        rules = list(start)
+        value = lambda rs: self.value(sig, rs, pos, neg)
 
         def added(rs: list) -> list:
-            now, base, length = times(rs), value(rs), sum(map(len, rs))
-            items, _ = grow(sig, lambda m, n: base - self.loss(now + m, length + n, pos, neg), self.max_len)
+            now, base, length = _times(sig, rs), value(rs), sum(map(len, rs))
+            items, _ = grow(sig, lambda m, n: base - self.loss(now + m, length + n, pos, neg), self.max_len, WIDTH)
             return [*rs, items] if items else rs
 
         while True:

@@ -33,20 +33,26 @@ def rule_counts(df: DataFrame, rules: list[Rule], flag: Column, weight: Column |
 
 
 def jaccard(df: DataFrame, rules: list[Rule], weight: Column | None = None) -> dict[tuple[int, int], float]:
-    """Weight of the rows of both over that of the rows of either, for each pair of rules (a few: pairs are columns)."""
-    w = F.lit(1) if weight is None else weight
-    pairs = list(itertools.combinations(range(len(rules)), 2))
-    cols = [r.column() for r in rules]
+    """Weight of the rows of both over that of the rows of either, for each pair of rules.
+
+    One pass: rows are grouped by the rules they meet, and only groups are spread over pairs.
+    What is collected has a row for each pair of rules at most.
+    """
+    if not rules:
+        return {}
+    hits = F.array_compact(F.array(*[F.when(r.column(), F.lit(i)) for i, r in enumerate(rules)]))
+    groups = df.select(hits.alias("__hits"), (F.lit(1) if weight is None else weight).cast("double").alias("__w")).groupBy("__hits").agg(F.sum("__w").alias("__w"))
+    spread = groups.select("__hits", "__w", F.explode("__hits").alias("__i")).select("__i", "__w", F.explode("__hits").alias("__j")).where("__i <= __j")
+    both = {(r["__i"], r["__j"]): float(r["__w"] or 0) for r in spread.groupBy("__i", "__j").agg(F.sum("__w").alias("__w")).collect()}
     out = {}
-    for at in range(0, len(pairs), WIDE):
-        part = pairs[at : at + WIDE]
-        row = df.agg(*[e for i, j in part for e in (
-            F.coalesce(F.sum(F.when(cols[i] & cols[j], w)), F.lit(0)).alias(f"b{i}_{j}"), F.coalesce(F.sum(F.when(cols[i] | cols[j], w)), F.lit(0)).alias(f"e{i}_{j}"))]).first()
-        out |= {(i, j): float(row[f"b{i}_{j}"]) / float(row[f"e{i}_{j}"]) if row[f"e{i}_{j}"] else 0.0 for i, j in part}
+    for i, j in itertools.combinations(range(len(rules)), 2):
+        shared = both.get((i, j), 0.0)
+        either = both.get((i, i), 0.0) + both.get((j, j), 0.0) - shared
+        out[i, j] = shared / either if either else 0.0
     return out
 
 
-def diverse_top(df: DataFrame, ranked: list[tuple[Rule, float]], k: int, limit: float, min_len: int = 1, weight: Column | None = None, block: int = 16) -> list[int]:
+def diverse_top(df: DataFrame, ranked: list[tuple[Rule, float]], k: int, limit: float, min_len: int = 1, weight: Column | None = None, block: int = 64) -> list[int]:
     """Numbers of the rules kept: in order of rank, unless one contains a kept rule, is contained in it, or overlaps it above the limit."""
     kept: list[int] = []
     usable = [i for i, (r, _) in enumerate(ranked) if len(r) >= min_len]
