@@ -12,6 +12,15 @@ from pyspark.sql import types as T
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo 4 are held out from every fit.
 HELD_OUT_REMAINDER = 2
 
+#: What a Python worker remembers between tasks, by operator.
+WORKER_TABLES: dict = {}
+
+
+def forget_tables() -> None:
+    """Frees what earlier operators left in this worker, so that their tables don't add up."""
+    WORKER_TABLES.clear()
+    pa.default_memory_pool().release_unused()
+
 
 def id_text_crc(col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarispark.llm.common import arrow_map, batch_of
+from clarispark.llm.common import WORKER_TABLES, arrow_map, batch_of
 from clarispark.session import materialize, release
 
 CAPACITY, END_ID = 2048, 0
@@ -116,14 +116,11 @@ class Encoder:
         return [self._whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One per Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One per Python worker and vocabulary; other operators' tasks may free it."""
+    if ("packing", path) not in WORKER_TABLES:
+        WORKER_TABLES["packing", path] = Encoder(path)
+    return WORKER_TABLES["packing", path]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])

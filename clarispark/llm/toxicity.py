@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarispark.llm.common import arrow_map, batch_of, held_out, labelled_sample
+from clarispark.llm.common import arrow_map, batch_of, forget_tables, held_out, labelled_sample
 
 ORDER, GAP, SPAN, WIDTH = 3, 0.7, 6, 24
 PER_CLASS, MAX_CHARS, LANDMARKS, SENTENCE_WORDS = 3000, 20_000, 256, 60_000
@@ -40,7 +40,7 @@ THRESHOLD = 0.3
 NEAR = -0.6
 #: The margin of a text without words.
 NOTHING = -1e9
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”‘’„…"
@@ -362,6 +362,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         scorer = Scorer(model)
         for b in _slices(batches):
             s = scorer(b.column("text").to_pylist())
@@ -374,6 +375,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score at or above the threshold; all columns pass through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         scorer = Scorer(model)
         for b in _slices(batches):
             yield b.filter(pa.array(scorer(b.column("text").to_pylist()) < threshold))
