@@ -21,6 +21,7 @@ score is 0; repeated rows get equal scores; other columns of the input are ignor
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -177,26 +178,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -40, 40)))
 
 
-def _dense(words: list[str], letters: Alphabet) -> np.ndarray:
-    """Feature vectors of a few hundred words, one per row."""
-    out = np.zeros((len(words), letters.size**ORDER), np.float32)
-    for i, w in enumerate(words):
+def _dense(words: list[str], letters: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The features that a few hundred words have, sorted, and the words' vectors over these, one per row."""
+    found = []
+    for w in words:
         codes, lengths = letters.codes([w])
-        _, feature, value = subsequences(codes, lengths, letters.size)
-        out[i, feature] = value
-    return out
+        found.append(subsequences(codes, lengths, letters.size)[1:])
+    used = np.unique(np.concatenate([f for f, _ in found]))
+    out = np.zeros((len(words), len(used)), np.float32)
+    for i, (feature, value) in enumerate(found):
+        out[i, np.searchsorted(used, feature)] = value
+    return used, out
 
 
-def _kernels(words: list[str], letters: Alphabet, landmarks: np.ndarray) -> np.ndarray:
-    """Kernels of words with the landmarks, (words, landmarks)."""
+def _kernels(words: list[str], letters: Alphabet, used: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Kernels of words with the landmarks, (words, landmarks); features that no landmark has add nothing."""
     out = np.zeros((len(words), landmarks.shape[0]))
-    across = np.ascontiguousarray(landmarks.T)
-    for at in range(0, len(words), 256):
-        part = words[at : at + 256]
+    across = np.vstack([landmarks.T, np.zeros((1, landmarks.shape[0]), np.float32)])
+    place = np.full(letters.size**ORDER, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    for at in range(0, len(words), 64):
+        part = words[at : at + 64]
         codes, lengths = letters.codes(part)
         row, feature, value = subsequences(codes, lengths, letters.size)
         starts = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
-        out[at : at + len(part)] = np.add.reduceat(across[feature] * value[:, None], starts, axis=0)
+        out[at : at + len(part)] = np.add.reduceat(across[place[feature]] * value[:, None], starts, axis=0)
     return out
 
 
@@ -243,7 +249,8 @@ def _evidence(toxic: list, clean: list, seen_clean: Counter) -> set[str]:
         w = f"^{w}$"
         return {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)}
 
-    in_clean = {r for w in seen_clean for r in runs(w)}
+    in_toxic = {r for w in {w for s in toxic for x in s for w in x if not seen_clean[w]} if len(w) <= WIDTH for r in runs(w)}
+    in_clean = {r for w in seen_clean for r in runs(w) if r in in_toxic}
     counts: Counter = Counter()
     fresh, before, apart = [], set(), 0
     for s in toxic:
@@ -266,7 +273,7 @@ def _evidence(toxic: list, clean: list, seen_clean: Counter) -> set[str]:
 
 def fit_sentences(docs: list[tuple[bool, list[list[str]]]], landmarks: int = LANDMARKS) -> Model:
     """docs: (toxic, sentences as lists of words).  Deterministic."""
-    docs = list({repr(x): x for x in docs}.values())
+    docs = list({hashlib.sha256(repr(x).encode("utf-8", "surrogatepass")).digest(): x for x in docs}.values())
     toxic = [s for y, s in docs if y]
     clean = [s for y, s in docs if not y]
     if not toxic or not clean:
@@ -287,16 +294,18 @@ def fit_sentences(docs: list[tuple[bool, list[list[str]]]], landmarks: int = LAN
             marks = sorted({*marks[: landmarks // 4], *sorted(positive)[:: -(-len(positive) // (landmarks // 4))]})
         marks = list(dict.fromkeys([*marks, *hard[-(landmarks - len(marks)) :]]))
         letters = Alphabet({c: i + 3 for i, c in enumerate(c for c, _ in Counter("".join(marks)).most_common(60))})
-        dense = _dense(marks, letters)
+        used, dense = _dense(marks, letters)
         values, vectors = np.linalg.eigh((dense @ dense.T).astype(float))
         good = values > 1e-6 * values[-1]
         white = vectors[:, good] / np.sqrt(values[good])
         words = sorted(positive) + list(dict.fromkeys(hard))
         y = np.where(np.arange(len(words)) < len(positive), 1.0, -1.0)
-        x = np.hstack([_kernels(words, letters, dense) @ white, np.ones((len(words), 1))])
+        x = np.hstack([_kernels(words, letters, used, dense) @ white, np.ones((len(words), 1))])
         cost = np.where(y > 0, len(words) / (2 * max(1, len(positive))), len(words) / (2 * max(1, len(words) - len(positive)))) * 1.0
         w = _svm(x, y, cost)
-        model = Model(letters.index, ((white @ w[:-1]) @ dense).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        weights = np.zeros(letters.size**ORDER, np.float32)
+        weights[used] = (white @ w[:-1]) @ dense
+        model = Model(letters.index, weights, float(w[-1]), 1.0, 0.0)
         # Clean words that score high become examples, and so do words of toxic documents that the machine is sure of.
         margins = model.margins(pool)
         hard = list(dict.fromkeys([*hard, *[pool[i] for i in np.argsort(-margins)[:1500] if margins[i] > NEAR]]))
@@ -316,7 +325,8 @@ def fit_sentences(docs: list[tuple[bool, list[list[str]]]], landmarks: int = LAN
 def fit(spark, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """Fits on a bounded sample: at most per_class rows of each class and texts of at most max_chars."""
     sample = labelled_sample(spark, docs, labels, "toxic", per_class).where(F.length("text") <= max_chars).dropDuplicates(["doc_id"]).orderBy("doc_id")
-    rows = [(r["__label"] == 1, [words_of(s) for s in sentences_of(r["text"])]) for r in sample.collect()]  # bounded: 2 x per_class x max_chars
+    one: dict[str, str] = {}  # equal words are one object
+    rows = [(r["__label"] == 1, [[one.setdefault(w, w) for w in words_of(s)] for s in sentences_of(r["text"])]) for r in sample.collect()]  # bounded: 2 x per_class x max_chars
     return fit_sentences(rows)
 
 
