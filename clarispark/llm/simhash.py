@@ -21,7 +21,7 @@ null); repeated rows share a fingerprint; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -302,14 +302,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(component, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id.
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs with one row of each component that ``near`` finds: that of its smallest doc_id.
 
     Of several rows with that doc_id, or of a component without any, one is chosen by a hash of
     its text, so rows that only share an id, or have none, are told apart.  All columns pass
     through; internal columns begin with ``__sh_``.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = materialize(
         found.groupBy("root").agg(F.min("component_id").alias("id"), F.min("text_hash").alias("__sh_h")).select(F.coalesce("id", F.lit(-(2**63))).alias("__sh_k"), "__sh_h"),
         "kept",
