@@ -194,6 +194,7 @@ def seed_hashes(ids: np.ndarray, width: int, at: np.ndarray | None = None) -> np
 
 
 LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest_tile", pa.int64())])
+ROW_LEAKS = pa.schema([("row", pa.int64()), *LEAKS])
 LEAKS_SQL = "doc_id long, item_id long, coverage double, n_tiles long, longest_tile long"
 
 
@@ -211,7 +212,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = MIN_MATCH, covera
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = bounded_benchmark(items, least, coverage, broadcast_seeds)
     if bench is None:
-        return _joined_leaks(named, items, least, coverage)
+        return _joined_leaks(_numbered(named), items, least, coverage).drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -225,8 +226,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = MIN_MATCH, covera
     return arrow_map(named, run, LEAKS_SQL)
 
 
-def _joined_leaks(named: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
-    """The way for a benchmark too large to travel: seeds are exploded and joined by hash.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, written with a number of each row (``__dc_row``), so that each plan that reads it sees the same numbers."""
+    return materialize(docs.withColumn("__dc_row", F.monotonically_increasing_id()), "decontamination_docs")
+
+
+def _joined_leaks(numbered: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """The way for a benchmark too large to travel: seeds are exploded and joined by hash; leaks with the ``row`` they are in.
 
     Candidates are pairs of a document and an item with a common seed; their texts are joined to
     them for the tiling.
@@ -250,33 +256,33 @@ def _joined_leaks(named: DataFrame, items: DataFrame, least: int, coverage: floa
 
         return arrow_map(df.select("row", "text"), run, "row long, width int, seed long")
 
-    docs = materialize(named.withColumn("row", F.monotonically_increasing_id()), "decontamination_docs")
+    docs = numbered.select(F.col("__dc_row").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = materialize(items.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("item_id"), "text"), "decontamination_items")
     wanted = materialize(seeds(own, None), "item_seeds")
     widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())  # at most ``least`` of them
-    docs, own = docs.withColumnRenamed("row", "__row"), own.select(F.col("row").alias("__item"), "item_id", F.col("text").alias("item_text"))
+    own = own.select(F.col("row").alias("__item"), "item_id", F.col("text").alias("item_text"))
     met = seeds(docs.withColumnRenamed("__row", "row"), widths).join(wanted.withColumnRenamed("row", "__item"), ["width", "seed"])
     pairs = met.select(F.col("row").alias("__row"), "__item").distinct()
-    full = pairs.join(docs, "__row").join(own, "__item").select("doc_id", "text", "item_id", "item_text")
+    full = pairs.join(docs, "__row").join(own, "__item").select(F.col("__row").alias("row"), "doc_id", "text", "item_id", "item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text, key, item_text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item_text")), strict=True):
-                rows += [(doc, *rest) for _, *rest in Benchmark.of([(key, item_text)], least, coverage).leaks([words_of(text)])]
+            for row, doc, text, key, item_text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text", "item_id", "item_text")), strict=True):
+                rows += [(row, doc, *rest) for _, *rest in Benchmark.of([(key, item_text)], least, coverage).leaks([words_of(text)])]
             if rows:
-                yield batch_of(LEAKS, [list(x) for x in zip(*rows, strict=True)])
+                yield batch_of(ROW_LEAKS, [list(x) for x in zip(*rows, strict=True)])
 
-    return arrow_map(full, run, LEAKS_SQL)
+    return arrow_map(full, run, f"row long, {LEAKS_SQL}")
 
 
 def reject_leaked(docs: DataFrame, items: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """docs without the rows into which an item leaked; all columns pass through."""
     bench = bounded_benchmark(items, least, coverage, broadcast_seeds)
     if bench is None:
-        gone = _joined_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, least, coverage)
-        gone = gone.select(F.col("doc_id").alias("__leaked")).distinct()
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")
+        numbered = _numbered(docs)
+        gone = _joined_leaks(numbered, items, least, coverage).select(F.col("row").alias("__dc_row")).distinct()
+        return numbered.join(gone, "__dc_row", "left_anti").select(*docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
