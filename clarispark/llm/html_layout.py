@@ -4,7 +4,9 @@ The builder implies the tags that authors may leave out (html, head and body; th
 dt, dd, option, row, cell and section of a table; tbody and tr).  Hidden are elements that a
 browser doesn't render (head, script, style, template, noscript and the like), ``hidden``,
 ``display: none``, ``visibility: hidden`` (children may turn visible again), closed ``details``
-but for their summary, and what simple rules of the page's style sheets (tag, .class, #id) hide.
+but for their summary, ``dialog`` that isn't open, and what simple rules of the page's style sheets
+(tag, .class, #id) hide.  Rules and ``style`` apply in cascade order (!important, specificity, place), and
+rules inside @media only where it holds on a screen of 1280 x 800 pixels; an unknown query doesn't.
 The renderer collapses white space, puts block elements on lines of their own with a blank line
 where they have margins, keeps ``pre`` as it is, marks list items with bullets or numbers by
 depth, and pads table cells so that columns align; nested tables are laid out inside their cell.
@@ -31,8 +33,12 @@ from clarispark.llm.common import arrow_map, batch_of
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
-UNRENDERED = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas svg math map area param source track rp dialog".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul option optgroup caption".split())
+UNRENDERED = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas map area param source track rp".split())
+#: Parts of svg and math that are not drawn where they stand.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient annotation annotation-xml mphantom".split())
+#: The screen that media queries are held against: pixels, and what else it is.
+SCREEN, LOOKS = {"width": 1280, "height": 800}, {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "pointer": "fine"}
+BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul option optgroup caption dialog svg:text".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl pre blockquote table figure fieldset hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 LISTS = frozenset("ul ol menu dir".split())
@@ -49,7 +55,9 @@ HEAD_ONLY = frozenset("base link meta title style script noscript template".spli
 _TOKEN = re.compile(r"<!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_PART = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[{};]", re.S)
+_LENGTH = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([\d.]+)(px|em|rem)\s*\)")
+_LOOK = re.compile(r"\(\s*([\w-]+)\s*:\s*([\w-]+)\s*\)")
 _SIMPLE = re.compile(r"[\w-]+|[.#][\w-]+")
 
 
@@ -158,7 +166,7 @@ def build(page: str) -> Node:
             stack.append(stack[-1].kids[-1])
         node = Node(tag, m["attrs"])
         stack[-1].kids.append(node)
-        if tag in VOID or (m["attrs"].endswith("/") and tag in ("path", "rect", "circle", "line", "use", "g")):
+        if tag in VOID or (m["attrs"].endswith("/") and (tag in ("path", "rect", "circle", "line", "use", "g", "svg", "math") or any(x.tag in ("svg", "math") for x in stack))):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -170,29 +178,101 @@ def build(page: str) -> Node:
     return root
 
 
-def hiding_rules(sheet: str) -> tuple[set[str], set[str]]:
-    """Simple selectors that style sheets set to display: none, and to visibility: hidden."""
-    gone, unseen = set(), set()
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-        look = declarations(body)
-        for s in selectors.split(","):
-            if _SIMPLE.fullmatch(s := s.strip()):
-                if look.get("display") == "none":
-                    gone.add(s if s[0] in ".#" else s.lower())
-                elif look.get("visibility") in ("hidden", "collapse"):
-                    unseen.add(s if s[0] in ".#" else s.lower())
-    return gone, unseen
+def applies(media: str) -> bool:
+    """Whether a list of media queries surely holds on SCREEN."""
+    def part(q: str) -> bool | None:
+        if m := _LENGTH.fullmatch(q):
+            least, most = (float(m[3]) * (1 if m[4] == "px" else 16), SCREEN[m[2]])
+            return most >= least if m[1] == "min" else most <= least
+        if m := _LOOK.fullmatch(q):
+            return LOOKS[m[1]] == m[2] if m[1] in LOOKS else None
+        return q in ("all", "screen", "") if re.fullmatch(r"[\w-]*", q) else None
 
+    def query(q: str) -> bool:
+        inverse = q.startswith("not ")
+        held = [part(x.strip()) for x in re.split(r"\sand\s", re.sub(r"^(not|only)\s+", "", q))]
+        held = False if False in held else None if None in held else True
+        return held is not None and held != inverse
 
-def declarations(style: str) -> dict[str, str]:
-    out = {}
+    return any(query(" ".join(q.split())) for q in media.lower().split(","))
+
+
+def hiding_rules(sheets: list[tuple[str, str]]) -> dict[str, dict[str, tuple[bool, int, str]]]:
+    """Of simple selectors: what (media, sheet) in their order set display and visibility to, as (important, place, value)."""
+    out: dict[str, dict[str, tuple[bool, int, str]]] = {}
+    place = 0
+    for media, sheet in sheets:
+        if not applies(media):
+            continue
+        sheet = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", "", sheet, flags=re.S)
+        at = skipped = 0  # skipped: depth inside a block that isn't read
+        body_of = None  # selectors of the rule that is open
+        start = 0
+        for m in _PART.finditer(sheet):
+            if m[0] == "{":
+                prelude = sheet[at : m.start()].strip()
+                at = m.end()
+                if skipped or body_of is not None:
+                    skipped += 1
+                elif prelude.startswith("@"):
+                    name, _, rest = prelude[1:].replace("(", " (", 1).partition(" ")
+                    name, rest = name.lower(), rest.strip().lower()
+                    held = applies(rest) if name == "media" else name == "layer" or (name == "supports" and not rest.startswith("not"))
+                    skipped = 0 if held else 1
+                else:
+                    body_of, start = prelude, at
+            elif m[0] == "}":
+                if skipped:
+                    skipped -= 1
+                elif body_of is not None:
+                    for name, (important, value) in weighed(sheet[start : m.start()]).items():
+                        for x in body_of.split(",") if name in ("display", "visibility") else ():
+                            if _SIMPLE.fullmatch(x := x.strip()):
+                                own = out.setdefault(x if x[0] in ".#" else x.lower(), {})
+                                own[name] = max(own.get(name, (False, -1, "")), (important, place, value))
+                    place += 1
+                    body_of = None
+                at = m.end()
+            elif m[0] == ";":
+                at = m.end()
+    return out
+
+
+def weighed(style: str) -> dict[str, tuple[bool, str]]:
+    """Declarations as (important, value); of equally important ones the last."""
+    out: dict[str, tuple[bool, str]] = {}
     for part in style.split(";"):
         name, colon, value = part.partition(":")
-        if colon:
-            out[name.strip().lower()] = value.replace("!important", "").strip().lower()
+        name, value = name.strip().lower(), value.strip().lower()
+        important = value.endswith("important") and value[:-9].rstrip().endswith("!")
+        if colon and (important or not out.get(name, (False, ""))[0]):
+            out[name] = important, value[:-9].rstrip()[:-1].rstrip() if important else value
     return out
 
 
+def looks(rules: dict, tag: str, a: dict[str, str]) -> dict[str, str]:
+    """display and visibility of an element, where its page sets them."""
+    won: dict[str, tuple] = {}
+    for weight, x in ((0, tag.removeprefix("svg:")), *((1, "." + c) for c in a.get("class", "").split()), (2, "#" + a.get("id", ""))) if rules else ():
+        for name, (important, place, value) in rules.get(x, {}).items():
+            won[name] = max(won.get(name, (False, -1, 0, "")), (important, weight, place, value))
+    for name, (important, value) in weighed(a["style"]).items() if "style" in a else ():
+        won[name] = max(won.get(name, (False, -1, 0, "")), (important, 3, 0, value))
+    return {name: x[-1] for name, x in won.items()}
+
+
+def drawn(root: Node) -> None:
+    """Takes out of an svg or math element what isn't drawn; texts of a drawing are blocks."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.kids = [k for k in node.kids if isinstance(k, str) or k.tag not in UNDRAWN]
+        for k in node.kids:
+            if isinstance(k, Node):
+                k.tag = "svg:text" if k.tag == "text" else k.tag
+                todo.append(k)
+
+
 def width(text: str) -> int:
     """Columns that a text takes: wide characters two, combining marks none."""
     if text.isascii():
@@ -298,10 +378,12 @@ def render(root: Node) -> str:
     while todo:
         node = todo.pop()
         if node.tag == "style":
-            sheets += [k for k in node.kids if isinstance(k, str)]
+            sheets += [(attributes(node.attrs).get("media", ""), k) for k in node.kids if isinstance(k, str)]
         else:
-            todo += [k for k in node.kids if isinstance(k, Node)]
-    gone, unseen = hiding_rules("\n".join(sheets)) if any("none" in s or "hidden" in s or "collapse" in s for s in sheets) else (set(), set())
+            if node.tag in ("svg", "math"):
+                drawn(node)
+            todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    rules = hiding_rules(sheets)
     flows = [Flow()]
     tables: list[list[list[tuple[str, int]]]] = []
     lists: list[list] = []  # [is numbered, next number]
@@ -338,23 +420,15 @@ def render(root: Node) -> str:
             elif tag in BLOCK:
                 flow.block(tag in SPACED)
             continue
-        if tag in UNRENDERED or tag in gone or (tag == "input"):
+        if tag in UNRENDERED or (tag == "input"):
             continue
-        if tag in unseen:
-            visible = False
-        if node.attrs:
+        if node.attrs or tag in rules or tag in ("dialog", "svg:text"):
             a = attributes(node.attrs)
-            names = [*("." + c for c in a.get("class", "").split()), "#" + a.get("id", "")]
-            if "hidden" in a or not gone.isdisjoint(names):
+            look = looks(rules, tag, a)
+            if look.get("display", "none" if "hidden" in a or (tag == "dialog" and "open" not in a) else "") == "none":
                 continue
-            if not unseen.isdisjoint(names):
-                visible = False
-            if "style" in a:
-                look = declarations(a["style"])
-                if look.get("display") == "none":
-                    continue
-                if "visibility" in look:
-                    visible = look["visibility"] not in ("hidden", "collapse")
+            if look.get("visibility", "inherit") not in ("inherit", "unset"):
+                visible = look["visibility"] not in ("hidden", "collapse")
         if tag == "br":
             flow.end(forced=True)
             continue
