@@ -608,11 +608,17 @@ def lime_text(spark, sf_dir):
 _DAYS, _PATCH = 28, 7
 
 
-def _series(spark, sf_dir) -> DataFrame:
-    e = read_table(spark, sf_dir, "events").withColumn("t", F.datediff(F.to_date("ts"), F.lit("2024-01-01"))).where(f"t < {_DAYS}")
+def _padded_days(spark, sf_dir) -> int:
+    """Days of the whole table from 2024-01-01 on, up to a multiple of the patch; the days added are empty."""
+    last = read_table(spark, sf_dir, "events").agg(F.max(F.datediff(F.to_date("ts"), F.lit("2024-01-01")))).first()[0]
+    return max(1, -(-((last or 0) + 1) // _PATCH)) * _PATCH
+
+
+def _series(spark, sf_dir, length: int = _DAYS) -> DataFrame:
+    e = read_table(spark, sf_dir, "events").withColumn("t", F.datediff(F.to_date("ts"), F.lit("2024-01-01"))).where(f"t < {length}")
     daily = e.groupBy("user_id", "t").agg(F.sum("value").alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
     maps = daily.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("mv"), F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("mn"))
-    days = F.sequence(F.lit(0), F.lit(_DAYS - 1))
+    days = F.sequence(F.lit(0), F.lit(length - 1))
     def filled(m: str):
         return F.transform(days, lambda t: F.coalesce(F.try_element_at(F.col(m), t), F.lit(0.0)))
 
@@ -656,6 +662,6 @@ def patch_main_effect(spark, sf_dir):
 
 @query()
 def temporal_explain(spark, sf_dir):
-    s = _series(spark, sf_dir)
+    s = _series(spark, sf_dir, _padded_days(spark, sf_dir))
     main, _ = temporal.TemporalExplainer(_weighted_sum, ["spend", "visits"], draws=5).explain(s, "user_id", s, _PATCH)
     return main
