@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clarispark.session import materialize
+
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo 4 are held out from every fit.
 HELD_OUT_REMAINDER = 2
 
@@ -31,11 +34,48 @@ def held_out(col: str = "doc_id"):
     return (id_text_crc(col) % 4) == HELD_OUT_REMAINDER
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow; empty input yields empty output of the same schema."""
+    """mapInArrow; empty input yields empty output of the same schema.
+
+    Rows here are whole texts, so Spark's default batch of rows can take hundreds of MB on either
+    side of the pipe.  Unless the session sets a bound of its own, a batch is at most 8 MB.
+    """
+    if df.sparkSession.conf.get(_BATCH_BYTES, None) in (None, "64MB", str(64 << 20), f"{64 << 20}b"):
+        df.sparkSession.conf.set(_BATCH_BYTES, str(8 << 20))
     return df.mapInArrow(fn, schema)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most so many rows, so that few texts are Python objects at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
+def numbered(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """docs with two long columns that tell its rows apart, the same in each plan that reads it.
+
+    Of a scan they are a hash of the file's path and the row's place in it, which cost nothing.
+    Anything else is written first: a number that is made while a plan runs may differ when
+    the plan runs again or a lost task is repeated.
+    """
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index")})
+
+    if "_metadata" not in docs.columns:
+        try:
+            return keyed(docs)
+        except AnalysisException:
+            pass
+    else:  # a column of that name hides the scan's own: it steps aside while the table is written
+        aside = materialize(docs.withColumnRenamed("_metadata", "__metadata_aside"), "numbered")
+        return keyed(aside).withColumnRenamed("__metadata_aside", "_metadata")
+    return keyed(materialize(docs, "numbered"))
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

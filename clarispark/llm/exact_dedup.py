@@ -1,14 +1,17 @@
 """Exact dedup on a cuckoo-filter index of live digests.
 
 Texts are equal when they are identical after lower-casing A-Z.  Each map task keeps a
-``CuckooIndex`` of the digests it meets and hands on one row per digest (largest row key and
-count), so a digest that a third of all rows share leaves a task once.  The second pass keeps
-an index per shuffle partition of digests and merges those rows.
+``CuckooIndex`` of the digests it meets and hands on one row per digest (largest live row key, rows
+inserted, rows deleted), so a digest that a third of all rows share leaves a task once.  The second
+pass keeps an index per shuffle partition of digests and merges those rows; a digest whose last
+live row is deleted leaves the index.  A hit on a tag is verified against the whole SHA-256 digest of
+the content in its bucket.
 
 Edge cases: a null text counts as empty, and empty texts are equal to each other; a null
 doc_id sorts before every number; rows that repeat a doc_id and a text are separate rows, of
-which one stays (ties are decided by the row number in the written digest table); an empty
-table gives an empty result; further columns of the input are ignored.
+which one stays (ties are decided by the row number in the written digest table); a text of any
+length is hashed whole; an empty table gives an empty result; further columns of the input,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarispark.llm.common import arrow_map, batch_of
+from clarispark.llm.common import arrow_map, batch_of, slices
 from clarispark.session import materialize
 
 MIN_ID = -(2**63)
@@ -141,79 +144,97 @@ class CuckooIndex:
         return self.count
 
 
-DIGESTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sha", pa.binary())])
-GROUPS = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("n", pa.int64())])
+DIGESTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("gone", pa.bool_()), ("sha", pa.binary())])
+GROUPS = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("inserted", pa.int64()), ("deleted", pa.int64())])
+GROUPS_SQL = "sha binary, keep_id long, keep_row long, inserted long, deleted long"
 #: A task hands on what its index holds when it has this many keys, so its memory is bounded.
-FLUSH_KEYS = 400_000
+FLUSH_KEYS = 100_000
+#: Entries handed on in a batch.
+OUT_ROWS = 8192
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = b.column("text").cast(pa.binary()).to_pylist()
         sha = [hashlib.sha256((t or b"").lower()).digest() for t in texts]  # bytes.lower() changes A-Z only
-        yield batch_of(DIGESTS, [b.column("doc_id"), b.column("row"), sha])
+        yield batch_of(DIGESTS, [b.column("doc_id"), b.column("row"), b.column("gone"), sha])
 
 
-def _merge(rows: Iterator[tuple[bytes, int, int, int]]) -> Iterator[pa.RecordBatch]:
-    """Merges rows of one key in an index that hands on its entries when it is full.
+def _merge(rows: Iterator[tuple[bytes, int | None, int | None, int, int]], last_pass: bool, flush: int) -> Iterator[pa.RecordBatch]:
+    """Merges rows (digest, largest live doc_id, its row, inserted, deleted) of one digest in an index.
 
-    In a map task a key may come again after that and is then merged in the second pass, whose
-    partitions are sorted by key: there the index is only emptied between two keys.
+    The index hands on its entries when it is full.  In a map task a key may come again after
+    that and is then merged in the last pass, whose partitions are sorted by key: there it is only
+    emptied between two keys, and an entry whose rows are all deleted is deleted from it.
     """
     index, last = CuckooIndex(), None
 
-    def out() -> pa.RecordBatch:
-        entries = list(index.items())
-        return batch_of(GROUPS, [[k for k, _ in entries], [None if v[0] == MIN_ID else v[0] for _, v in entries], [v[1] for _, v in entries], [v[2] for _, v in entries]])
-
-    for key, doc, row, n in rows:
-        if key != last and len(index) >= FLUSH_KEYS:
-            yield out()
-            index = CuckooIndex()
-        last, doc = key, MIN_ID if doc is None else doc
+    def out() -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[], [], [], [], []]
+        for key, ((doc, row), inserted, deleted) in index.items():
+            for column, value in zip(columns, (key, None if doc == MIN_ID else doc, None if row < 0 else row, inserted, deleted), strict=True):
+                column.append(value)
+            if len(columns[0]) == OUT_ROWS:
+                yield batch_of(GROUPS, columns)
+                columns = [[], [], [], [], []]
+        if columns[0]:
+            yield batch_of(GROUPS, columns)
+
+    def settle() -> None:
+        if last_pass and last is not None and (live := index.get(last)) is not None and live[1] == live[2]:
+            index.delete(last)
+
+    for key, doc, row, inserted, deleted in rows:
+        if key != last:
+            settle()
+            if len(index) >= flush:
+                yield from out()
+                index = CuckooIndex()
+            last = key
+        best = (MIN_ID if doc is None else doc, -1 if row is None else row)
         live = index.get(key)
-        if live is None:
-            index.insert(key, (doc, row, n))
-        else:
-            index.delete(key)  # the live entry gives way to the merged one
-            index.insert(key, (*max((live[0], live[1]), (doc, row)), live[2] + n))
-    if len(index):
-        yield out()
+        index.insert(key, (best, inserted, deleted) if live is None else (max(live[0], best), live[1] + inserted, live[2] + deleted))
+    settle()
+    yield from out()
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _merge((s, d, r, 1) for b in batches for s, d, r in zip(*(b.column(c).to_pylist() for c in ("sha", "doc_id", "row")), strict=True))
+def _rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
+    for b in slices(batches, OUT_ROWS):
+        yield from zip(*(b.column(c).to_pylist() for c in columns), strict=True)
 
 
-def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _merge(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("sha", "keep_id", "keep_row", "n")), strict=True))
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """A row is inserted; if it is gone it is deleted as well, and no candidate to stay."""
+    return ((s, None, None, 1, 1) if gone else (s, d, r, 1, 0) for s, d, r, gone in _rows(batches, ("sha", "doc_id", "row", "gone")))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, sha) per row of docs; ``row`` numbers the rows of this table."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("row"))
-    return arrow_map(named, _digest, "doc_id long, row long, sha binary")
+def digests(docs: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, row, gone, sha) per row of docs; ``row`` numbers the rows of this table."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    gone = F.lit(False)
+    if removed is not None:
+        ids = removed.select(F.col("doc_id").cast("long").alias("__gone")).distinct().withColumn("__is", F.lit(True))
+        named, gone = named.join(ids, F.col("doc_id").eqNullSafe(F.col("__gone")), "left"), F.coalesce("__is", F.lit(False))
+    return arrow_map(named.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), gone.alias("gone")), _digest, "doc_id long, row long, gone boolean, sha binary")
 
 
-def live_groups(table: DataFrame) -> DataFrame:
-    """(sha, keep_id, keep_row, n): one row per live digest."""
-    schema = "sha binary, keep_id long, keep_row long, n long"
-    partial = arrow_map(table, _partial, schema)
-    return arrow_map(partial.repartition(F.col("sha")).sortWithinPartitions("sha"), _final, schema)
+def live_groups(table: DataFrame, flush: int = FLUSH_KEYS) -> DataFrame:
+    """(sha, keep_id, keep_row, inserted, deleted): one row per live digest."""
+    partial = arrow_map(table, lambda b: _merge(_events(b), False, flush), GROUPS_SQL)
+    names = tuple(GROUPS.names)
+    return arrow_map(partial.repartition(F.col("sha")).sortWithinPartitions("sha"), lambda b: _merge(_rows(b, names), True, flush), GROUPS_SQL)
 
 
-def exact_dedup(docs: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, removed: DataFrame | None = None, flush: int = FLUSH_KEYS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``removed`` (doc_id) names documents that are deleted first: their digests leave the
-    index unless another live document has the same text, and they are not in the result.
+    ``removed`` (doc_id) names documents that are deleted: they are no candidates to stay and not
+    in the result, and their digests leave the index unless another live document has the same text.
     """
-    if removed is not None:
-        docs = docs.join(removed.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    table = materialize(digests(docs), "digests")
-    groups = materialize(live_groups(table), "digest_groups")
-    return table.join(groups, "sha").select(
-        "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    table = materialize(digests(docs, removed), "digests")
+    groups = materialize(live_groups(table, flush), "digest_groups")
+    return table.where(~F.col("gone")).join(groups, "sha").select(
+        "doc_id", "keep_id", (F.col("inserted") - F.col("deleted")).alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 

@@ -46,9 +46,24 @@ def test_exact_dedup_equals_brute_force(docs):
         assert sum(r["kept"] for r in got if r["text_sha256"] == sha) == 1
     removed = docs.where("doc_id = 2").select("doc_id")
     assert {r["keep_id"] for r in exact_dedup.exact_dedup(docs, removed).where("doc_id = 1").collect()} == {1}
+    gone = docs.where("doc_id in (1, 2, 3, 4, 12) or doc_id is null").select("doc_id", "text")
+    left = exact_dedup.exact_dedup(docs, gone, flush=2).collect()  # the first text loses all its rows, the empty one too
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in left) == [(d, d, 1, True) for d, t in NASTY if d not in (1, 2, 3, 4, 12, None)]
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("flush", [1, 3, 50, exact_dedup.FLUSH_KEYS])
+def test_full_indexes_are_handed_on(spark, flush):
+    rng = random.Random(flush)
+    rows = [(i, "t" * rng.randint(0, 40)) for i in range(400)]
+    gone = {i for i, _ in rows if rng.random() < 0.4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs, spark.createDataFrame([(i,) for i in gone], "doc_id long"), flush).collect()}
+    live = [(i, t) for i, t in rows if i not in gone]
+    want = {i: (max(j for j, u in live if u == t), sum(u == t for _, u in live), i == max(j for j, u in live if u == t)) for i, t in live}
+    assert got == want
+
+
 def cut(rows):
     """Brute force: later windows in the order of (doc_id, position) cover their lines."""
     seen, out = set(), {}
