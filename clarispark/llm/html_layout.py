@@ -12,9 +12,12 @@ where they have margins, keeps ``pre`` as it is, marks list items with bullets o
 depth, and pads table cells so that columns align; nested tables are laid out inside their cell.
 
 Edge cases: null and empty html give an empty text; broken markup is read as a browser would,
-without errors; nesting of any depth is walked with a stack of its own; the whole page is read.
-Rows are independent: repeated rows give repeated results, null ids are kept, an empty table
-gives an empty result, and other columns are ignored.
+without errors: a tag that the page's end cuts off is dropped, elements nested deeper than MOST_DEPTH
+become siblings, numbers that are none count as left out.  The whole page is read, in time that
+grows with its length.  A column of a table aligns cells up to MOST_WIDTH columns of text; longer
+cells are kept whole and push what follows; a table wider than MOST_LINE has two spaces between cells.  Rows are independent: repeated rows give repeated
+results, null ids are kept, an empty table gives an empty result, and other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarispark.llm.common import arrow_map, batch_of
+from clarispark.llm.common import arrow_map, batch_of, slices
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,8 +56,16 @@ ENDS = {
 }
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 
-_TOKEN = re.compile(r"<!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Browsers' bound on nesting, and on columns that a cell spans; the widest column of text, and line of a table, that is padded.
+MOST_DEPTH, MOST_SPAN, MOST_WIDTH, MOST_LINE = 512, 1000, 160, 1000
+
+# Quoted values may hold ">" and run to the page's end if they aren't closed.  All repeats are possessive, so reading is linear.
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+)|)"
+_BARE = _VALUE.replace("([", "(?:[")
+_TOKEN = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|=?[^\s/>=]++(?:{_BARE})?+|=)*+)(?P<end>>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"(=?[^\s/>=]++)(?:{_VALUE})?+|=", re.S)
+_INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})(?![0-9])")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _PART = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[{};]", re.S)
 _LENGTH = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([\d.]+)(px|em|rem)\s*\)")
@@ -68,13 +80,28 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+def unescaped(raw: str) -> str:
+    """Character references resolved; a number beyond all characters is the replacement character."""
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:
+        raw = _HUGE.sub(lambda m: f"&#{x};" if len(x := m[0].strip("&#;").lower().lstrip("x").lstrip("0") or "0") < 8 and m[0][2] not in "xX" else f"&#x{x};" if len(x) < 8 else "\ufffd", raw)
+    return html.unescape(raw)
+
+
 def attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(raw):
-        out.setdefault(name.lower(), html.unescape(a or b or c))
+        out.setdefault(name.lower(), unescaped(a or b or c))
     return out
 
 
+def integer(raw: str, default: int) -> int:
+    """As browsers read a number: white space, a sign and ASCII digits, whatever follows."""
+    m = _INTEGER.match(raw)
+    return int(m[1]) if m else default
+
+
 def build(page: str) -> Node:
     """The tree of a page: nodes hold nodes and texts."""
     root = Node("html")
@@ -82,6 +109,7 @@ def build(page: str) -> Node:
     head = Node("head")
     root.kids = [head, body]
     stack = [root, head]
+    seen: set[str] = set()  # tags opened so far
     at, n = 0, len(page)
 
     def text(raw: str) -> None:
@@ -92,7 +120,7 @@ def build(page: str) -> Node:
                 return
             del stack[1:]
             stack.append(body)
-        stack[-1].kids.append(html.unescape(raw) if "&" in raw else raw)
+        stack[-1].kids.append(unescaped(raw))
 
     def ended(tags: set[str], beyond: set[str]) -> None:
         """Closes the outermost element of tags that is open within the nearest of beyond."""
@@ -115,6 +143,8 @@ def build(page: str) -> Node:
         name = m["tag"]
         if name is None:
             continue
+        if not m["end"]:
+            break  # the page ends inside a tag
         tag = name.lower()
         if m["close"]:
             if tag in ("html", "body"):
@@ -122,6 +152,10 @@ def build(page: str) -> Node:
             if tag == "br":
                 stack[-1].kids.append(Node("br"))
                 continue
+            if tag not in seen and tag != "p":
+                if len(stack) == 1:
+                    stack.append(body)
+                continue
             fence = {"td", "th", "table"} if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot") else {"table"} - {tag}
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -150,10 +184,12 @@ def build(page: str) -> Node:
         if (stack[-1] is head or len(stack) == 1) and tag not in HEAD_ONLY:
             del stack[1:]
             stack.append(body)
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and "p" in seen:
             ended({"p"}, {"td", "th", "table", "caption", "button", "body"})
-        if tag in ENDS:
+        if tag in ENDS and not seen.isdisjoint(ENDS[tag][0]):
             ended(*ENDS[tag])
+        if len(stack) >= MOST_DEPTH:
+            stack.pop()
         top = stack[-1].tag
         if tag in ("td", "th") and top in ("table", "tbody", "thead", "tfoot"):
             if top == "table":
@@ -165,6 +201,7 @@ def build(page: str) -> Node:
             stack[-1].kids.append(Node("tbody"))
             stack.append(stack[-1].kids[-1])
         node = Node(tag, m["attrs"])
+        seen.add(tag)
         stack[-1].kids.append(node)
         if tag in VOID or (m["attrs"].endswith("/") and (tag in ("path", "rect", "circle", "line", "use", "g", "svg", "math") or any(x.tag in ("svg", "math") for x in stack))):
             continue
@@ -172,7 +209,7 @@ def build(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             raw, at = (page[at : end.start()], end.end()) if end else (page[at:], n)
             if raw:
-                node.kids.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
+                node.kids.append(unescaped(raw) if tag in ("textarea", "title") else raw)
             continue
         stack.append(node)
     return root
@@ -343,32 +380,34 @@ class Flow:
 
 def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
     """Lines of a table whose cells are (text, columns spanned); a cell's lines stay in its column."""
-    columns = max((sum(span for _, span in row) for row in rows), default=0)
-    wide = [0] * columns
+    # Columns between which no cell begins are one.
+    edges = sorted({0, *(at for row in rows for at in accumulate(span for _, span in row))})
+    place = {edge: k for k, edge in enumerate(edges)}
+    laid = []  # per row: (lines of the cell, first column, column after it)
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                wide[at] = max(wide[at], *(width(x) for x in text.split("\n")))
-            at += span
-    for row in rows:  # a spanning cell widens the last of its columns
-        at = 0
-        for text, span in row:
-            if span > 1:
-                need = max(width(x) for x in text.split("\n")) - sum(wide[at : at + span]) - 2 * (span - 1)
-                wide[at + span - 1] += max(0, need)
-            at += span
+        ends = list(accumulate(span for _, span in row))
+        laid.append([(text.split("\n"), place[end - span], place[end]) for (text, span), end in zip(row, ends, strict=True)])
+    wide = [0] * max(1, len(edges) - 1)
+    for row in laid:
+        for lines, at, to in row:
+            if to == at + 1:
+                wide[at] = max(wide[at], *(min(width(x), MOST_WIDTH) for x in lines))
+    for row in laid:  # a spanning cell widens the last of its columns
+        for lines, at, to in row:
+            if to > at + 1:
+                need = max(min(width(x), MOST_WIDTH) for x in lines) - sum(wide[at:to]) - 2 * (to - at - 1)
+                wide[to - 1] += max(0, need)
+    if sum(wide) > MOST_LINE:
+        wide = [0] * len(wide)
     out = []
-    for row in rows:
-        split = [(text.split("\n"), span) for text, span in row]
-        for k in range(max((len(x) for x, _ in split), default=0)):
-            at, line = 0, ""
-            for x, span in split:
+    for row in laid:
+        spaces = [sum(wide[at:to]) + 2 * (to - at - 1) for _, at, to in row]
+        for k in range(max((len(x) for x, *_ in row), default=0)):
+            line = []
+            for (x, *_), space in zip(row, spaces, strict=True):
                 cell = x[k] if k < len(x) else ""
-                space = sum(wide[at : at + span]) + 2 * (span - 1)
-                line += cell + " " * (space - width(cell)) + "  "
-                at += span
-            out.append(line.rstrip())
+                line.append(cell + " " * (space - width(cell)))
+            out.append("  ".join(line).rstrip())
     return out
 
 
@@ -411,8 +450,8 @@ def render(root: Node) -> str:
                 cell = flows.pop().text()
                 if not tables[-1]:
                     tables[-1].append([])
-                span = attributes(node.attrs).get("colspan", "1") if "colspan" in node.attrs.lower() else "1"
-                tables[-1][-1].append((cell, min(max(int(span), 1), 1000) if span.isdigit() else 1))
+                span = integer(attributes(node.attrs).get("colspan", ""), 1) if "colspan" in node.attrs.lower() else 1
+                tables[-1][-1].append((cell, min(max(span, 1), MOST_SPAN)))
             elif tag == "table":
                 for line in aligned([r for r in tables.pop() if r]):
                     flow.emit(line)
@@ -442,8 +481,7 @@ def render(root: Node) -> str:
             kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
         if tag in LISTS:
             flow.block(not lists)
-            start = attributes(node.attrs).get("start", "1") if tag == "ol" and node.attrs else "1"
-            lists.append([tag == "ol", int(start) if start.lstrip("-").isdigit() else 1])
+            lists.append([tag == "ol", integer(attributes(node.attrs).get("start", ""), 1) if tag == "ol" and node.attrs else 1])
         elif tag == "li":
             flow.end()
             mark = "- "
@@ -488,11 +526,9 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_chars", p
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, text, n_chars, n_lines for every row of pages."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                texts = [extract(h) for h in b.column("html").to_pylist()]
-                yield batch_of(TEXTS, [b.column("page_id"), texts, [len(t) for t in texts], [t.count("\n") + 1 if t else 0 for t in texts]])
+        for b in slices(batches, 128):
+            texts = [extract(h) for h in b.column("html").to_pylist()]
+            yield batch_of(TEXTS, [b.column("page_id"), texts, [len(t) for t in texts], [t.count("\n") + 1 if t else 0 for t in texts]])
 
     return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), "html"), run, "page_id long, text string, n_chars long, n_lines long")
 
