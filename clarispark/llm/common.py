@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,25 +54,28 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield whole.slice(at, rows)
 
 
+def _one_row_each(docs: DataFrame) -> bool:
+    """True if docs is a scan of files, filtered and projected at most."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") and "_metadata" in plan.metadataOutput().mkString(" ")
+
+
 def numbered(docs: DataFrame, file: str, row: str) -> DataFrame:
     """docs with two long columns that tell its rows apart, the same in each plan that reads it.
 
     Of a scan they are a hash of the file's path and the row's place in it, which cost nothing.
-    Anything else is written first: a number that is made while a plan runs may differ when
-    the plan runs again or a lost task is repeated.
+    Anything else is written first: a join may repeat a scan's rows, and a number that is made
+    while a plan runs may differ when the plan runs again or a lost task is repeated.
     """
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index")})
 
-    if "_metadata" not in docs.columns:
-        try:
-            return keyed(docs)
-        except AnalysisException:
-            pass
-    else:  # a column of that name hides the scan's own: it steps aside while the table is written
+    if "_metadata" in docs.columns:  # it hides the scan's own: it steps aside while the table is written
         aside = materialize(docs.withColumnRenamed("_metadata", "__metadata_aside"), "numbered")
         return keyed(aside).withColumnRenamed("__metadata_aside", "_metadata")
-    return keyed(materialize(docs, "numbered"))
+    return keyed(docs if _one_row_each(docs) else materialize(docs, "numbered"))
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -14,8 +14,9 @@ A task returns a spanning forest of the links it finds, never all pairs of a den
 that hold more fingerprints than a block are split in blocks, each pair of which is a task.
 
 Edge cases: null and empty texts and texts of white space have fingerprint zero and are linked
-like any other; a null doc_id is ignored by component_id (a component of null ids only has
-null); repeated rows share a fingerprint; an empty table gives an empty result.
+like any other; texts of any length are hashed whole; a null doc_id is ignored by component_id (a
+component of null ids only has null); repeated rows share a fingerprint and a component; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarispark.llm.common import arrow_map, batch_of
+from clarispark.llm.common import arrow_map, batch_of, numbered, slices
 from clarispark.llm.graph import connected_components
 from clarispark.session import materialize, release
 
@@ -43,7 +44,9 @@ BLOCK = 1 << 16
 #: Node pairs walked at a time, and the product of sizes at which a node pair is compared bit by bit.
 FRONTIER, DIRECT = 1 << 18, 64
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+#: Columns that tell rows apart.
+ROW = ("__sh_f", "__sh_r")
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ROW), ("fp", pa.int64())])
 
 
 def fingerprint(text: bytes) -> int:
@@ -64,15 +67,20 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = b.column("text").cast(pa.binary()).to_pylist()
         fps = np.array([fingerprint(t or b"") for t in texts], np.uint64)
-        yield batch_of(FINGERPRINTS, [b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))])
+        yield batch_of(FINGERPRINTS, [b.column("doc_id"), *(b.column(c) for c in ROW), pa.array(fps.view(np.int64))])
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, ROW, text) of docs, numbered unless they are already."""
+    own = docs if set(ROW) <= set(docs.columns) else numbered(docs.select("doc_id", "text"), *ROW)
+    return own.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW, "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return arrow_map(named, _fingerprints, "doc_id long, text_hash long, fp long")
+    return arrow_map(rows_of(docs), _fingerprints, f"doc_id long, {ROW[0]} long, {ROW[1]} long, fp long")
 
 
 def near_nodes(depth: int) -> list[int]:
@@ -290,7 +298,7 @@ def links(distinct: DataFrame, leaf: int = LEAF, block: int = BLOCK) -> DataFram
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp (long), component_id and root (a fingerprint of the component) for every row of docs."""
+    """doc_id, ROW, fp (long), component_id and root (a fingerprint of the component) for every row of docs."""
     prints = materialize(fingerprints(docs), "fingerprints")
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fingerprints")
     roots = connected_components(links(firsts.select("fp")))
@@ -299,23 +307,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = materialize(grouped.join(least, "root").select("fp", "component_id", "root"), "components")
     release(firsts, roots, grouped)
-    return prints.join(component, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    return prints.join(component, "fp").select("doc_id", *ROW, "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs with one row of each component that ``near`` finds: that of its smallest doc_id.
 
-    Of several rows with that doc_id, or of a component without any, one is chosen by a hash of
-    its text, so rows that only share an id, or have none, are told apart.  All columns pass
-    through; internal columns begin with ``__sh_``.
+    Of several rows with that doc_id, or of a component without any, the first by its place in the
+    table stays.  All columns pass through; internal columns begin with ``__sh_``.
     """
-    found = near(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialize(
-        found.groupBy("root").agg(F.min("component_id").alias("id"), F.min("text_hash").alias("__sh_h")).select(F.coalesce("id", F.lit(-(2**63))).alias("__sh_k"), "__sh_h"),
-        "kept",
-    )
-    own = docs.withColumns({"__sh_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__sh_h": F.xxhash64("text")})
-    return own.join(kept.hint("merge"), ["__sh_k", "__sh_h"], "left_semi").dropDuplicates(["__sh_k", "__sh_h"]).select(*docs.columns)
+    own = numbered(docs, *ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW)).alias("x")
+    kept = materialize(near(own).groupBy("root").agg(first).select(*[f"x.{c}" for c in ROW]), "kept")
+    return own.join(kept.hint("merge"), list(ROW), "left_semi").select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

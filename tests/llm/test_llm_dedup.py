@@ -92,6 +92,16 @@ def test_line_dedup_equals_brute_force(docs, spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_one_of_tied_windows_stays(spark, tmp_path):
+    rows = [(None, "a\nb\nc\nd")] * 3 + [(7, "p\nq\nr\nx"), (7, "p\nq\nr\ny"), (8, "z\n" * 5000)] + [(9, "s\nt\nu")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    for table in (docs, spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/docs").withColumn("_metadata", F.lit(1))):
+        got = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(table).collect()]
+        assert sorted(t for d, t in got if d is None) == ["", "", "a\nb\nc\nd"] and sorted(t for d, t in got if d == 9) == ["", "s\nt\nu"]
+        assert sorted(t for d, t in got if d == 7) in (["p\nq\nr\nx", "y"], ["p\nq\nr\ny", "x"]) and [t for d, t in got if d == 8] == ["z\n"]
+
+
 def slow_fingerprint(text):
     words = text.lower().split() if text.isascii() else [w for w in "".join(c.lower() if c.isascii() else c for c in text).split()]
     if not words:
