@@ -3,18 +3,18 @@
 A log holds events of conversations: ``message`` opens a message, ``delta`` appends to it,
 ``edit`` replaces its text, ``regenerate`` drops it and all that came after it and opens it
 anew, ``delete`` drops it.  Logs are partitioned by conversation and sorted by sequence, and a
-streaming pass folds them into final messages and renders these.  The pass holds
-messages of a conversation only while a later event of it may still change them.
+streaming pass folds them into final messages and renders these.  Each event carries the first
+message that a later event still touches, so the pass holds messages only from that one on.
 
 Rendering marks turns with control strings; a control string inside a text gets a backslash
 after its first character (one more if it has some), so reading back is exact.  The loss mask
 covers the assistant's escaped texts.  ``read_back`` recovers turns and mask from the output.
 
-Edge cases: a null text counts as empty; a null role is rendered as an empty name; a null
-conversation id is a conversation of its own; ties in sequence are ordered by kind,
-role, text and message; repeated rows are turns each; an empty table gives an empty result; other
-columns are ignored.  An event for a message that isn't open is left out, but for ``delta`` and
-``edit``, which open it.
+Edge cases: a null text counts as empty; texts of any length are folded and rendered whole; a null
+role is rendered as an empty name; a null conversation id is a conversation of its own; ties in
+sequence are ordered by kind, role, text and message; repeated rows are turns each; an empty table
+gives an empty result; other columns, whatever their names, are ignored.  An event for a message
+that isn't open is left out, but for ``delta``, ``edit`` and ``regenerate``, which open it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarispark.llm.common import arrow_map, batch_of
+from clarispark.llm.common import arrow_map, batch_of, slices
 
 # The control strings of the template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[/TURN]")
@@ -74,12 +74,13 @@ TURNS_SQL = "conv_id long, turn long, role string, output string, loss_from long
 
 
 class Fold:
-    """The messages of one conversation while its events come in; ``messages`` is ordered by opening."""
+    """The messages of one conversation while its events come in, in the order of their opening."""
 
     def __init__(self):
-        self.messages: dict[object, tuple[str, list[str]]] = {}
+        self.messages: dict[object, tuple[str, list[str], int]] = {}
 
-    def apply(self, kind: str, message, role: str, text: str) -> None:
+    def apply(self, kind: str, message, role: str, text: str, opened: int = 0) -> None:
+        """``opened`` is the number of the message's first event."""
         if kind == "delete":
             self.messages.pop(message, None)
             return
@@ -93,52 +94,49 @@ class Fold:
                 own[1].clear()
             own[1].append(text)
         else:
-            self.messages[message] = (role, [text])
+            self.messages[message] = (role, [text], opened)
 
-    def turns(self) -> list[tuple[str, str]]:
-        return [(role, "".join(parts)) for role, parts in self.messages.values()]
+    def final(self, touched: int | None) -> Iterator[tuple[str, str]]:
+        """Takes out the first messages, as far as no later event touches them; ``touched``: the least ``opened`` of those that will be."""
+        while self.messages:
+            key, (role, parts, opened) = next(iter(self.messages.items()))
+            if touched is not None and opened >= touched:
+                return
+            del self.messages[key]
+            yield role, "".join(parts)
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions sorted by conversation and sequence; a row per final turn.
-
-    Beyond a conversation's last event that changes a message (column settled), its turns are
-    final and leave at once: a long log of plain messages is never held.
-    """
+    """Partitions sorted by conversation and event; a row per final turn."""
     conv, fold, n, held, out = None, None, 0, None, []
 
-    def emit(role: str, text: str) -> None:
+    def emit(turns: Iterator[tuple[str, str]]) -> None:
         nonlocal n, held
-        if held is not None:
-            out.append((*held, False))
-        held = (conv, n, role, *render_turn(role, text))
-        n += 1
+        for role, text in turns:
+            if held is not None:
+                out.append((*held, False))
+            held = (conv, n, role, *render_turn(role, text))
+            n += 1
 
     def close() -> None:
         nonlocal n, held
-        for role, text in fold.turns():
-            emit(role, text)
+        emit(fold.final(None))
         if held is not None:
             out.append((*held, True))
         n, held = 0, None
 
-    for b in batches:
-        for c, seq, settled, kind, message, role, text in zip(*(b.column(x).to_pylist() for x in ("conv_id", "seq", "settled", "kind", "message", "role", "text")), strict=True):
+    columns = ("conv_id", "kind", "message", "role", "text", "opened", "touched")
+    for b in slices(batches, 512):
+        for c, kind, message, role, text, opened, touched in zip(*(b.column(x).to_pylist() for x in columns), strict=True):
             if fold is None or c != conv:
                 if fold is not None:
                     close()
                 conv, fold = c, Fold()
-            if kind == "message" and (settled is None or (seq is not None and seq > settled)):
-                if fold.messages:
-                    for r, t in fold.turns():
-                        emit(r, t)
-                    fold = Fold()
-                emit(role or "", text or "")
-            else:
-                fold.apply(kind, message, role or "", text or "")
-            if len(out) >= 2048:
-                yield batch_of(TURNS, [list(x) for x in zip(*out, strict=True)])
-                out.clear()
+            fold.apply(kind, message, role or "", text or "", opened)
+            emit(fold.final(touched))
+        if out:
+            yield batch_of(TURNS, [list(x) for x in zip(*out, strict=True)])
+            out.clear()
     if fold is not None:
         close()
     if out:
@@ -149,22 +147,41 @@ def format_events(events: DataFrame) -> DataFrame:
     """A row per final turn, in order within its conversation: conv_id, turn, role, output, loss_from, loss_length, last.
 
     A conversation's formatted text is its outputs joined, and its loss mask the spans of its rows.
+    Events move once, by conversation; the windows need no other partitioning.
     """
-    own = Window.partitionBy("conv_id")
-    kept = events.select("conv_id", "seq", "kind", "message", "role", "text").repartition(F.col("conv_id"))
-    dealt = kept.withColumn("settled", F.max(F.when(F.col("kind") != "message", F.col("seq"))).over(own))
-    return arrow_map(dealt.sortWithinPartitions("conv_id", "seq", "kind", "role", "text", "message"), _rendered, TURNS_SQL)
+    conv = Window.partitionBy("conv_id")
+    log = events.select("conv_id", "seq", "kind", "message", "role", "text")
+    log = log.withColumn("nth", F.row_number().over(conv.orderBy("seq", "kind", "role", "text", "message")))
+    log = log.withColumn("opened", F.min("nth").over(Window.partitionBy("conv_id", "message")))
+    later = conv.orderBy(F.desc("nth")).rowsBetween(Window.unboundedPreceding, -1)
+    log = log.withColumn("touched", F.min(F.when(F.col("opened") < F.col("nth"), F.col("opened"))).over(later))
+    return arrow_map(log.sortWithinPartitions("conv_id", "nth").drop("seq", "nth"), _rendered, TURNS_SQL)
+
+
+#: Deltas in which ``events_of`` logs a message that is streamed.
+DELTAS = 4
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log of one ``message`` event per row of (conv_id, turn, role, text); equal rows are messages each.
+    """The log that a chat server keeps of rows (conv_id, turn, role, text); equal rows are messages each.
 
-    ``message`` numbers the rows, so two rows of one turn are two messages.
+    A user sends the beginning and edits it to the whole text; an assistant's message is opened
+    empty, gets its first delta, is regenerated and then streamed in DELTAS parts; other roles
+    send their text at once.
     """
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"),
-        F.monotonically_increasing_id().alias("message"), "role", "text",
+    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("message", F.row_number().over(own).cast("long")).withColumn("size", F.greatest(F.lit(1), F.ceil(F.length("text") / DELTAS)).cast("int"))
+    part = lambda i: F.substring(F.col("text"), F.lit(1) + F.col("size") * i, F.col("size") if i < DELTAS - 1 else F.length("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    whole, none = F.col("text"), F.lit("")
+    log = (
+        F.when(F.col("role") == "user", F.array(event("message", part(0)), event("edit", whole)))
+        .when(F.col("role") == "assistant", F.array(event("message", none), event("delta", part(0)), event("regenerate", none), *(event("delta", part(i)) for i in range(DELTAS))))
+        .otherwise(F.array(event("message", whole)))
     )
+    return rows.select("conv_id", "message", "role", F.posexplode(log).alias("step", "event")).select(
+        "conv_id", (F.col("message") * 16 + F.col("step")).alias("seq"), "event.kind", "message", "role", "event.text")
 
 
 DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

@@ -91,6 +91,51 @@ def test_events_fold(spark):
     assert chat.digest_turns(chat.format_events(events.limit(0))).count() == 0
 
 
+def _folded(events):
+    """Final turns of one conversation, by a plain list."""
+    turns = []  # [message, role, text]
+    for kind, message, role, text in events:
+        at = next((i for i, t in enumerate(turns) if t[0] == message), None)
+        if kind == "delete":
+            turns = [t for t in turns if t[0] != message]
+        elif kind == "regenerate":
+            turns = (turns if at is None else turns[:at]) + [[message, role or "", text or ""]]
+        elif at is None:
+            turns.append([message, role or "", text or ""])
+        elif kind == "delta":
+            turns[at][2] += text or ""
+        elif kind == "edit":
+            turns[at][2] = text or ""
+        else:
+            turns[at][1:] = [role or "", text or ""]
+    return [(r, t) for _, r, t in turns]
+
+
+def test_folds_equal_a_plain_list(spark):
+    rng = random.Random(11)
+    logs = {c: [(rng.choice(["message", "message", "delta", "delta", "edit", "regenerate", "delete"]), rng.randrange(6), rng.choice(["user", "assistant", None]), rng.choice(["a", "</s>", None, "b" * 50])) for _ in range(rng.randrange(1, 40))] for c in range(60)}
+    rows = [(c, i, k, m, r, t) for c, log in logs.items() for i, (k, m, r, t) in enumerate(log)]
+    rng.shuffle(rows)
+    by = {}
+    for r in sorted(chat.format_events(spark.createDataFrame(rows, chat.EVENTS_SQL).repartition(5)).collect(), key=lambda r: r["turn"]):
+        by.setdefault(r["conv_id"], []).extend(chat.read_back(r["output"]))
+    assert by == {c: want for c, log in logs.items() if (want := _folded(log))}
+
+
+def test_logs_of_conversations_fold_back(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "long text é " * 4000), (1, 2, "assistant", "x" * 100_001), (1, 3, "user", None), (1, 3, "user", None), (1, 4, None, "n"), (2, 0, "assistant", "abc"), (None, 0, "assistant", "")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("nth", "opened", "touched", "seq", "kind", "message")})
+    events = chat.events_of(table)
+    assert {r["kind"] for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    by = {}
+    for r in sorted(chat.format_events(events).collect(), key=lambda r: r["turn"]):
+        by.setdefault(r["conv_id"], []).extend(chat.read_back(r["output"]))
+    want = {}
+    for c, _, r, t in rows:
+        want.setdefault(c, []).append((r or "", t or ""))
+    assert by == want
+
+
 # --- Quality and toxicity ---
 
 
