@@ -2,16 +2,19 @@
 
 Documents become token pieces of at most ``capacity`` tokens.  Pieces of one length are alike,
 so a packing is a list of bin patterns with a multiplicity each, over the counts of the at most
-``capacity`` lengths: its size does not grow with the corpus, and the search is the same at
-100 TB.  Every island is a Spark task that evolves a small population.  Crossover injects whole
-well-filled bins of one parent into the other, bins that now hold pieces twice are removed, and
-their displaced pieces are put back best-fit, largest first; mutation empties badly filled bins.
-Between epochs each island's elite moves to the next island.  The best packing is then dealt out
-to the pieces by their rank within their length, a lookup without any search at execution time.
-
-Edge cases: a null text counts as empty and is one piece of the end id alone; repeated rows are
-packed once each; a null doc_id is kept; an empty table gives an empty result; other columns of
-the input are ignored.
+``capacity`` lengths.  Best-fit leaves about three patterns a length at most and each child adds as
+many, so with corpus size patterns grow up to that bound and not beyond.  Every island is a Spark
+task that evolves a small population.  Crossover injects whole well-filled bins of one parent into
+the other, bins that now hold pieces twice are removed, and their displaced pieces are put back
+best-fit, largest first; mutation empties badly filled bins.  Between epochs each island's elite
+moves to the next island.  The islands stop early where a packing meets the lower bound: it can't
+be bettered then.  Packings travel between tasks as written tables and never through the driver.
+The best is spread into slots, ranges of ranks within a length, and joined with the pieces.
+
+Edge cases: a null text counts as empty and is one piece of the end id alone; a very long text is
+cut into pieces, none of them dropped; repeated rows are packed once each, and pieces of equal
+length are dealt out by task and order; a null doc_id is kept; an empty table gives an empty
+result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -290,7 +293,7 @@ def mutate(packing: dict, counts: dict[int, int], capacity: int, rng: random.Ran
 
 
 def _dump(packing: dict) -> str:
-    return json.dumps([[list(map(list, p)), n] for p, n in sorted(packing.items())])
+    return json.dumps([[list(map(list, p)), n] for p, n in sorted(packing.items())], separators=(",", ":"))
 
 
 def _load(text: str) -> dict:
@@ -307,8 +310,8 @@ def evolve(island: int, epoch: int, counts: dict[int, int], capacity: int, incom
             continue
         pool.append(mutate(pool[0], counts, capacity, rng))
     score = {id(x): fitness(x, capacity) for x in pool}
-    for _ in range(generations):
-        if max(score[id(x)] for x in pool)[0] == -least:
+    for generation in range(generations):
+        if generation and max(score[id(x)] for x in pool)[0] == -least:
             break
         mother, father = rng.sample(pool, 2)
         child = crossover(mother, father, counts, capacity, rng)
@@ -320,72 +323,72 @@ def evolve(island: int, epoch: int, counts: dict[int, int], capacity: int, incom
     return [_dump(x) for x in sorted(pool, key=lambda x: score[id(x)], reverse=True)]
 
 
-def pack_counts(spark, counts: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> dict:
-    """The best packing that the islands find.
+ISLAND_SQL = "island int, nth int, bins long, evenness double, packing string"
 
-    Counts, elites and packings are bounded by the number of lengths, not by the number of
-    pieces.  The search ends early when the lower bound is reached.
-    """
-    if not counts:
-        return {}
+
+def _living(epoch: int, counts: dict[int, int], capacity: int, generations: int, population: int, least: int):
+    def live(pdf: pd.DataFrame) -> pd.DataFrame:
+        island, incoming = int(pdf["island"].iloc[0]), pdf.sort_values(["place", "nth"])["packing"].dropna().tolist()
+        after = evolve(island, epoch, counts, capacity, incoming[:population], generations, population, least)
+        scores = [fitness(_load(x), capacity) for x in after]
+        return pd.DataFrame({"island": island, "nth": range(len(after)), "bins": [-n for n, _ in scores], "evenness": [e for _, e in scores], "packing": after})
+
+    return live
+
+
+def evolved(spark, counts: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
+    """The islands' packings after their last epoch, as a written table of ISLAND_SQL; nth 0 is an island's best."""
     least = lower_bound(counts, capacity)
-    first = best_fit({}, counts, capacity)
-    if bins(first) == least:
-        return first
-    homes: list[list[str]] = [[_dump(first)] for _ in range(islands)]
+    state = None
     for epoch in range(epochs):
-        def live(frames: Iterator[pd.DataFrame], homes=homes, epoch=epoch) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for island in frame["id"].tolist():
-                    after = evolve(island, epoch, counts, capacity, homes[island], generations, population, least)
-                    yield pd.DataFrame({"island": island, "nth": range(len(after)), "packing": after})
-
-        rows = spark.range(0, islands, 1, islands).mapInPandas(live, "island long, nth long, packing string").collect()
-        by: list[dict[int, str]] = [{} for _ in range(islands)]
-        for r in rows:
-            by[r["island"]][r["nth"]] = r["packing"]
-        homes = [[x[k] for k in sorted(x)] for x in by]
-        elites = [x[0] for x in homes]
-        if any(bins(_load(x)) == least for x in elites):
+        if state is None:
+            homes = spark.range(0, islands, 1, islands).select(F.col("id").cast("int").alias("island"), F.lit(0).alias("place"), F.lit(0).alias("nth"), F.lit(None).cast("string").alias("packing"))
+        else:
+            moves = F.col("nth") == 0  # the elite moves to the next island and comes first there
+            homes = state.select(F.when(moves, (F.col("island") + 1) % islands).otherwise(F.col("island")).alias("island"), F.when(moves, 0).otherwise(1).alias("place"), "nth", "packing")
+        before, state = state, materialize(homes.groupBy("island").applyInPandas(_living(epoch, counts, capacity, generations, population, least), ISLAND_SQL), "islands")
+        if before is not None:
+            release(before)
+        if state.agg(F.min("bins")).first()[0] == least:
             break
-        homes = [[elites[i - 1], *x[:-1]] for i, x in enumerate(homes)]  # the elite moves to the next island
-    return max(map(_load, elites), key=lambda x: fitness(x, capacity))
+    return state
 
 
-# --- The packing dealt out ------------------------------------------------------------------------
+def best_of(state: DataFrame) -> DataFrame:
+    """The one row with the fewest bins, of equals the most uneven."""
+    return state.orderBy("bins", F.desc("evenness"), "island", "nth").limit(1)
 
 
-class Plan:
-    """Where the piece of a length and rank goes: runs of ranks by length, found by bisection."""
+def pack_counts(spark, counts: dict[int, int], capacity: int = CAPACITY, **search) -> dict:
+    """The best packing that the islands find, on the driver: for counts of few lengths."""
+    return _load(best_of(evolved(spark, counts, capacity, **search)).first()["packing"]) if counts else {}
 
-    def __init__(self, packing: dict):
-        slots: dict[int, list[tuple[int, int, int, int]]] = {}
-        used: dict[int, int] = {}
-        base = 0
-        for pattern, times in sorted(packing.items(), reverse=True):
-            offset = 0
-            for n, k in pattern:
-                slots.setdefault(n, []).append((used.get(n, 0), k, base, offset))
-                used[n] = used.get(n, 0) + k * times
-                offset += n * k
-            base += times
-        self.slots = {n: np.array(x, np.int64) for n, x in slots.items()}
 
-    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        order = np.argsort(length, kind="stable")
-        edges = np.flatnonzero(np.diff(length[order])) + 1
-        for at in np.split(order, edges) if len(order) else []:
-            n = int(length[at[0]])
-            table = self.slots[n]
-            row = table[np.searchsorted(table[:, 0], rank[at], side="right") - 1]
-            nth = rank[at] - row[:, 0]
-            sequence[at] = row[:, 2] + nth // row[:, 1]
-            offset[at] = row[:, 3] + (nth % row[:, 1]) * n
-        return sequence, offset
+# --- The packing dealt out ------------------------------------------------------------------------
+
+
+#: Ranks of a length that are looked up together: a piece meets as many slots at most.
+BLOCK = 8
+SLOTS_SQL = "length long, first long, ranks long, each long, base long, place long"
 
 
-OUT = pa.schema([*[f for f in PIECES if f.name not in ("part", "nth")], ("sequence_id", pa.int64()), ("offset", pa.int64())])
+def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where pieces of a length go by rank: from ``first`` on, ``each`` to a bin, bins numbered from ``base``, at ``place`` in them."""
+    for frame in frames:
+        for text in frame["packing"]:
+            used: dict[int, int] = {}
+            rows, base = [], 0
+            for pattern, times in sorted(_load(text).items(), reverse=True):
+                place = 0
+                for n, k in pattern:
+                    rows.append((n, used.get(n, 0), k * times, k, base, place))
+                    used[n] = used.get(n, 0) + k * times
+                    place += n * k
+                base += times
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["length", "first", "ranks", "each", "base", "place"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["length", "first", "ranks", "each", "base", "place"])
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -394,19 +397,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     cut = materialize(pieces(docs, tokenizer, capacity), "pieces")
     by_task = materialize(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    plan = Plan(pack_counts(spark, counts, capacity))
+    state = evolved(spark, counts, capacity) if counts else spark.createDataFrame([], ISLAND_SQL)
+    slots = materialize(best_of(state).select("packing").mapInPandas(_slots, SLOTS_SQL), "slots")
+    release(state)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(by_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece_starts")
     release(by_task)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length = b.column("length").to_numpy(zero_copy_only=False)
-            rank = b.column("before").to_numpy(zero_copy_only=False) + b.column("nth").to_numpy(zero_copy_only=False)
-            sequence, offset = plan.place(length, rank)
-            yield batch_of(OUT, [*[b.column(f.name) for f in OUT if f.name not in ("sequence_id", "offset")], pa.array(sequence), pa.array(offset)])
-
-    return arrow_map(cut.join(starts, ["length", "part"]), deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = cut.join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    block = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("ranks") - 1) / BLOCK)))
+    met = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(slots.withColumn("block", block), ["length", "block"])
+    held = met.where("rank >= first AND rank < first + ranks").withColumn("rank", F.col("rank") - F.col("first"))
+    sequence, offset = F.col("base") + F.floor(F.col("rank") / F.col("each")), F.col("place") + F.col("rank") % F.col("each") * F.col("length")
+    return held.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import functools
 import gzip
 import json
 import random
@@ -39,10 +40,59 @@ def test_packings_hold_every_piece():
             assert packing._load(packing._dump(x)) == x
 
 
-def test_islands_beat_best_fit_decreasing(spark):
-    counts = {51: 6, 27: 6, 26: 12, 23: 6, 28: 6}
-    found = packing.pack_counts(spark, counts, 100, epochs=2, generations=10)
-    assert packing._demand(found) == counts and packing.bins(found) <= packing.bins(packing.best_fit({}, counts, 100))
+def exact_bins(counts, capacity):
+    """Fewest bins, by trying all patterns in turn (small counts)."""
+    lengths = sorted(counts, reverse=True)
+
+    @functools.cache
+    def fewest(left):
+        if not any(left):
+            return 0
+        first = next(i for i, n in enumerate(left) if n)
+        best = sum(left)
+        def fill(i, room, now):
+            nonlocal best
+            if i == len(lengths):
+                best = min(best, 1 + fewest(tuple(now)))
+                return
+            for k in range(min(now[i], room // lengths[i]), -1, -1):
+                now[i] -= k
+                fill(i + 1, room - k * lengths[i], now)
+                now[i] += k
+        now = list(left)
+        now[first] -= 1
+        fill(first, capacity - lengths[first], now)
+        return best
+
+    return fewest(tuple(counts[n] for n in lengths))
+
+
+def test_islands_find_the_fewest_bins(spark):
+    rng = random.Random(2)
+    for _ in range(3):
+        counts = {}
+        for _ in range(7):
+            n = rng.randint(15, 70)
+            counts[n] = counts.get(n, 0) + 1
+        found = packing.pack_counts(spark, counts, 100, islands=2, epochs=2, generations=20)
+        assert packing._demand(found) == counts and packing.bins(found) == exact_bins(counts, 100)
+
+
+def test_islands_beat_best_fit_decreasing():
+    """Bins of three pieces that fill them exactly, where best-fit needs more; islands without Spark, as they migrate."""
+    rng = random.Random(5)
+    counts = {}
+    for _ in range(20):
+        a, b = rng.randint(380, 490), rng.randint(250, 280)
+        for n in (a, b, 1000 - a - b):
+            counts[n] = counts.get(n, 0) + 1
+    plain = packing.bins(packing.best_fit({}, counts, 1000))
+    homes = [[] for _ in range(3)]
+    for epoch in range(6):
+        homes = [packing.evolve(i, epoch, counts, 1000, x, 60, 8, 20) for i, x in enumerate(homes)]
+        homes = [[homes[i - 1][0], *x[1:]] for i, x in enumerate(homes)]
+    best = min((packing._load(x[0]) for x in homes), key=packing.bins)
+    assert packing._demand(best) == counts and packing.bins(best) < plain
 
 
 def test_pack(spark):
