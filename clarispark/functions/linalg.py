@@ -37,6 +37,14 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 0) -> np.ndarray:
     return x
 
 
+def lp_text(cost: np.ndarray, cover: np.ndarray, slack_cost: np.ndarray) -> str:
+    """The covering program in the LP file format."""
+    term = lambda c, v: f"{'-' if c < 0 else '+'} {abs(c):.12g} {v}"
+    rows = [f" c{i}: " + " ".join([f"+ 1 y{i}", *[f"+ {cover[i, j]:g} x{j}" for j in np.flatnonzero(cover[i])]]) + " >= 1" for i in range(cover.shape[0])]
+    goal = " ".join([*(term(c, f"y{i}") for i, c in enumerate(slack_cost)), *(term(c, f"x{j}") for j, c in enumerate(cost))])
+    return "\n".join(["Minimize", f" obj: {goal}", "Subject To", *rows, "End", ""])
+
+
 def covering_lp(cost: np.ndarray, cover: np.ndarray, slack_cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """min cost.x + slack_cost.y with y + cover x >= 1, x, y >= 0: (x, y, duals, objective).
 

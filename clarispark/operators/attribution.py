@@ -9,12 +9,16 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clarispark.functions.predicates import Predicate, Rule
+from clarispark.operators.mining import tree_paths
+
 ColumnModel = Callable[[dict[str, Column]], Column]
 MAX_EXACT = 12
 
@@ -54,37 +58,135 @@ def shap_exact(df: DataFrame, model: ColumnModel, features: list[str], baseline:
     return wide.withColumns(out).drop(*values.values())
 
 
-def shap_sampled(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.ndarray], features: list[str], background: pd.DataFrame, permutations: int = 32, seed: int = 0, link: str = "identity") -> DataFrame:
-    """(key, feature, class, value) by sampled permutations against a small background, for any number of features and classes."""
+def _outputs(y, rows: int) -> np.ndarray:
+    """A model's results as (rows, classes)."""
+    out = np.asarray(y, float)
+    return out.reshape(rows, -1)
+
+
+def _long(key: str, keys, names: list[str], values: np.ndarray) -> pd.DataFrame:
+    """(rows, features, classes) in long form."""
+    n, f, k = values.shape
+    return pd.DataFrame({key: np.repeat(np.asarray(keys), f * k), "feature": np.tile(np.repeat(names, k), n), "class": np.tile(np.arange(k), n * f), "value": values.ravel()})
+
+
+def shap_sampled(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.ndarray], features: list[str], background: pd.DataFrame, permutations: int = 32, seed: int = 0, link: str = "identity", cells: int = 2_000_000) -> DataFrame:
+    """(key, feature, class, value) by sampled permutations against a background table, for any number of features and classes.
+
+    Each permutation is taken with its reverse, so effects of single features and of pairs are
+    exact.  Rows of a batch meet the whole background in one call of the model, of about ``cells``
+    cells at most.  The background is the user's, of a size that the driver holds.
+    """
     rows = background[features].to_numpy(float)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = len(features)
+        rng = np.random.default_rng(seed)
+        orders = [o for _ in range(max(1, -(-permutations // 2))) for p in (rng.permutation(m),) for o in (p, p[::-1])]
+        step = max(1, cells // max(1, len(rows) * (m + 1) * m))
+
         def f(x: np.ndarray) -> np.ndarray:
-            out = np.asarray(model(pd.DataFrame(x, columns=features)), float)
-            out = out[:, None] if out.ndim == 1 else out
+            out = _outputs(model(pd.DataFrame(x, columns=features)), len(x))
             return np.log(out / (1 - out)) if link == "logit" else out
 
         for frame in frames:
-            for k, x in zip(frame[key], frame[features].to_numpy(float), strict=True):
-                rng = np.random.default_rng(seed)
+            for at in range(0, len(frame), step):
+                x = frame[features].iloc[at : at + step].to_numpy(float)
                 total = None
-                for _ in range(permutations):
-                    order, now = rng.permutation(len(features)), rows.copy()
+                for order in orders:
+                    now = np.broadcast_to(rows, (len(x), *rows.shape)).copy()  # (rows, background, features)
                     steps = [now.copy()]
                     for j in order:
-                        now[:, j] = x[j]
+                        now[:, :, j] = x[:, None, j]
                         steps.append(now.copy())
-                    v = f(np.concatenate(steps)).reshape(len(steps), len(rows), -1).mean(1)
-                    gain = np.zeros((len(features), v.shape[1]))
-                    gain[order] = np.diff(v, axis=0)
+                    v = f(np.concatenate(steps).reshape(-1, m)).reshape(m + 1, len(x), len(rows), -1).mean(2)
+                    gain = np.zeros((len(x), m, v.shape[-1]))
+                    gain[:, order] = np.diff(v, axis=0).transpose(1, 0, 2)
                     total = gain if total is None else total + gain
-                total = total / permutations
-                yield pd.DataFrame({key: k, "feature": np.repeat(features, total.shape[1]), "class": np.tile(np.arange(total.shape[1]), len(features)), "value": total.ravel()})
+                yield _long(key, frame[key].iloc[at : at + step], features, total / len(orders))
 
     kind = dict(df.dtypes)[key]
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(run, f"`{key}` {kind}, feature string, class int, value double")
 
 
+def shap_tree(df: DataFrame, key: str, ensemble: TreeEnsemble, features: list[str], background: pd.DataFrame | None = None, matched: dict[str, str] | None = None) -> DataFrame:
+    """(key, feature, class, value): exact Shapley values of fitted trees, whatever the number of features.
+
+    A leaf is reached by a mixture of a row and a baseline row only if each feature on its path
+    suits one of the two.  With a features that only the row suits and b that only the baseline
+    does, the leaf's weight is shared by (a - 1)! b! / (a + b)! among the first and taken by
+    a! (b - 1)! / (a + b)! from the second.  Baselines: every row of ``background`` in turn (the
+    mean counts), or for each row its own, in the columns that ``matched`` names by feature.
+    """
+    if (background is None) == (matched is None):
+        raise ValueError("give a background table or matched columns")
+    place = {c: i for i, c in enumerate(features)}
+    leaves = []
+    for conditions, weight in ensemble.leaves:
+        own = sorted({p.feature for p in conditions})
+        leaves.append(([place[c] for c in own], [[(p.op, float(p.value)) for p in conditions if p.feature == c] for c in own], weight))
+    deepest = max((len(own) for own, *_ in leaves), default=0)
+    share = np.zeros((deepest + 2, deepest + 2))  # share[a, b]: (a - 1)! b! / (a + b)!
+    for i in range(1, deepest + 1):
+        for j in range(deepest + 1 - i):
+            share[i, j] = math.factorial(i - 1) * math.factorial(j) / math.factorial(i + j)
+    fixed = None if background is None else background[features].to_numpy(float)
+
+    def suits(x: np.ndarray, own: list[int], tests: list) -> np.ndarray:
+        out = np.ones((len(x), len(own)), bool)
+        for k, (j, several) in enumerate(zip(own, tests, strict=True)):
+            for op, value in several:
+                out[:, k] &= x[:, j] <= value if op == "<=" else x[:, j] > value
+        return out
+
+    def contributions(mine: np.ndarray, theirs: np.ndarray, weight: float) -> np.ndarray:
+        """Rows beside their baselines, (rows, own features) each."""
+        live = (mine | theirs).all(1)
+        a, b = (mine & ~theirs).sum(1), (theirs & ~mine).sum(1)
+        return weight * live[:, None] * ((mine & ~theirs) * share[a, b][:, None] - (theirs & ~mine) * share[b, a][:, None])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x = frame[features].to_numpy(float)
+            total = np.zeros((len(x), len(features), 1))
+            z = fixed if fixed is not None else frame[[f"__m_{c}" for c in features]].to_numpy(float)
+            for own, tests, weight in leaves:
+                if not own:
+                    continue
+                mine, theirs = suits(x, own, tests), suits(z, own, tests)
+                if fixed is None:
+                    total[:, own, 0] += contributions(mine, theirs, weight)
+                else:  # baselines that suit alike count together
+                    kinds, n = np.unique(theirs, axis=0, return_counts=True)
+                    for kind, times in zip(kinds, n, strict=True):
+                        total[:, own, 0] += contributions(mine, np.broadcast_to(kind, mine.shape), weight * times / len(fixed))
+            yield _long(key, frame[key], features, total)
+
+    kind = dict(df.dtypes)[key]
+    named = df.select(key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features], *[F.col(f"`{m}`").cast("double").alias(f"__m_{c}") for c, m in (matched or {}).items()])
+    return named.mapInPandas(run, f"`{key}` {kind}, feature string, class int, value double")
+
+
+@dataclass
+class TreeEnsemble:
+    """The leaves of fitted trees as (conditions, weight); their weights where the conditions hold add up to the prediction."""
+
+    leaves: list[tuple[tuple[Predicate, ...], float]]
+
+    @classmethod
+    def of(cls, model, features: list[str]) -> TreeEnsemble:
+        """A fitted MLlib tree, forest or boosted regressor over numeric features."""
+        trees = list(getattr(model, "trees", [model]))
+        weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0]
+        if type(model).__name__.startswith("RandomForest"):
+            weights = [1.0 / len(trees)] * len(trees)
+        return cls([(path, value * w) for tree, w in zip(trees, weights, strict=True) for path, value in tree_paths(tree, features)])
+
+    def column(self) -> Column:
+        """The prediction as a column."""
+        return sum((F.when(Rule(path).column(), F.lit(w)).otherwise(F.lit(0.0)) for path, w in self.leaves), F.lit(0.0))
+
+
 def shap_tree_rules(df: DataFrame, rules: list, features: list[str], baseline: dict[str, float]) -> DataFrame:
     """Exact values of an additive ensemble of (rule, weight): each rule's Shapley value over its own features only, added up."""
     out = df
@@ -141,48 +243,67 @@ def completeness(df: DataFrame, model: ColumnModel, features: list[str], baselin
     return float(df.agg(F.avg(F.abs(total - change) / (F.abs(change) + F.lit(1e-7)))).first()[0])
 
 
-def lime_tabular(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.ndarray], features: list[str], background: DataFrame, samples: int = 500, kernel_width: float | None = None, ridge: float = 1e-3, seed: int = 0) -> DataFrame:
-    """(key, feature, value): weights of a ridge regression fitted around each row.
+def lime_tabular(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.ndarray], features: list[str], background: DataFrame, samples: int = 500, kernel_width: float | None = None, ridge: float = 1e-3, seed: int = 0, cells: int = 2_000_000) -> DataFrame:
+    """(key, feature, class, value): weights of a ridge regression fitted around each row.
 
     Neighbours are drawn with the background's deviations and weighed by distance in those units.
+    The draws are the same around each row, so one factorisation serves all rows, and rows of a
+    batch go to the model together, about ``cells`` cells at a time.
     """
     stats = background.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in features]).first()
     scale = np.array([float(stats[c] or 0) or 1.0 for c in features])
     width = kernel_width or 0.75 * math.sqrt(len(features))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = np.random.default_rng(seed).standard_normal((samples, len(features)))
+        z[0] = 0
+        near = np.exp(-(z**2).sum(1) / width**2)
+        d = np.hstack([np.ones((samples, 1)), z])
+        solve = np.linalg.solve((d * near[:, None]).T @ d + ridge * np.diag([0.0, *[1.0] * len(features)]), (d * near[:, None]).T)[1:]  # (features, samples)
+        step = max(1, cells // (samples * len(features)))
         for frame in frames:
-            for k, x in zip(frame[key], frame[features].to_numpy(float), strict=True):
-                z = np.random.default_rng(seed).standard_normal((samples, len(features)))
-                z[0] = 0
-                y = np.asarray(model(pd.DataFrame(x + z * scale, columns=features)), float).ravel()
-                w = np.exp(-(z**2).sum(1) / width**2)
-                d = np.hstack([np.ones((samples, 1)), z])
-                a = (d * w[:, None]).T @ d + ridge * np.diag([0.0, *[1.0] * len(features)])
-                beta = np.linalg.solve(a, (d * w[:, None]).T @ y)[1:] / scale
-                yield pd.DataFrame({key: k, "feature": features, "value": beta})
+            for at in range(0, len(frame), step):
+                x = frame[features].iloc[at : at + step].to_numpy(float)
+                y = _outputs(model(pd.DataFrame((x[:, None, :] + z * scale).reshape(-1, len(features)), columns=features)), len(x) * samples)
+                beta = np.einsum("fs,nsk->nfk", solve, y.reshape(len(x), samples, -1)) / scale[None, :, None]
+                yield _long(key, frame[key].iloc[at : at + step], features, beta)
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(run, f"`{key}` {kind}, feature string, value double")
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(run, f"`{key}` {kind}, feature string, class int, value double")
+
 
+def lime_text(df: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], samples: int = 200, ridge: float = 1e-2, seed: int = 0) -> DataFrame:
+    """(key, token, value): how a text's distinct words move the model when they are left out at random.
+
+    A text of more distinct words than samples is solved in the space of the samples, which gives
+    the same weights from a matrix of that size.
+    """
+    def weights(words: list[str], tokens: list[str]) -> np.ndarray:
+        keep = np.random.default_rng(seed).random((samples, len(tokens))) < 0.5
+        keep[0] = True
+        at = {w: i for i, w in enumerate(tokens)}
+        place = np.array([at[w] for w in words])
+        own = np.array(words, object)
+        y = np.asarray(model([" ".join(own[row[place]]) for row in keep]), float).ravel()
+        near = np.sqrt(np.exp(-((1 - keep.mean(1)) ** 2) / 0.25))
+        # The constant isn't shrunk: its part is taken out first.
+        d, t = keep * near[:, None], y * near
+        ones = near / np.sqrt(near @ near)
+        d, t = d - np.outer(ones, ones @ d), t - ones * (ones @ t)
+        if len(tokens) <= samples:
+            return np.linalg.solve(d.T @ d + ridge * np.eye(len(tokens)), d.T @ t)
+        return d.T @ np.linalg.solve(d @ d.T + ridge * np.eye(samples), t)
 
-def lime_text(df: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], samples: int = 200, seed: int = 0) -> DataFrame:
-    """(key, token, value): how a text's distinct words move the model when they are left out at random."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            found = []
             for k, t in zip(frame[key], frame[text], strict=True):
                 words = (t or "").split()
                 tokens = sorted(set(words))
-                if not tokens:
-                    continue
-                keep = np.random.default_rng(seed).random((samples, len(tokens))) < 0.5
-                keep[0] = True
-                at = {w: i for i, w in enumerate(tokens)}
-                y = np.asarray(model([" ".join(w for w in words if row[at[w]]) for row in keep]), float).ravel()
-                near = np.exp(-((1 - keep.mean(1)) ** 2) / 0.25)
-                d = np.hstack([np.ones((samples, 1)), keep.astype(float)])
-                beta = np.linalg.solve((d * near[:, None]).T @ d + 1e-2 * np.eye(d.shape[1]), (d * near[:, None]).T @ y)[1:]
-                yield pd.DataFrame({key: k, "token": tokens, "value": beta})
+                if tokens:
+                    found.append((k, tokens, weights(words, tokens)))
+            if found:
+                yield pd.DataFrame({key: np.repeat([k for k, *_ in found], [len(t) for _, t, _ in found]), "token": [w for _, t, _ in found for w in t], "value": np.concatenate([v for *_, v in found])})
 
     return df.select(key, text).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, token string, value double")
 

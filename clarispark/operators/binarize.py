@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clarispark.functions.predicates import Predicate
+from clarispark.functions.ranks import quantiles
 
 
 @dataclass
@@ -37,23 +38,27 @@ class FeatureBinarizer:
             if c not in numeric and not isinstance(kinds[c], (T.StringType, T.BooleanType)):
                 raise ValueError(f"column {c} has type {kinds[c].simpleString()}: cast it to a number or a string")
         clean = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else F.col(c) for c in features])
-        stats = clean.agg(*[e for c in features for e in (F.countDistinct(c).alias(f"{c}__n"), F.sum(F.col(c).isNull().cast("int")).alias(f"{c}__null"))]).first()
-        wide = [c for c in numeric if c not in self.categorical and stats[f"{c}__n"] > max(2, self.num_thresh + 1)]
-        quantiles = [i / (self.num_thresh + 1) for i in range(1, self.num_thresh + 1)]
-        found = clean.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, quantiles))).alias(c) for c in wide]).first() if wide else {}
-        ordinal = [c for c in numeric if c not in self.categorical and stats[f"{c}__n"] > 2]
+        stats = clean.agg(*[e for c in features for e in (F.approx_count_distinct(c).alias(f"{c}__n"), F.sum(F.col(c).isNull().cast("int")).alias(f"{c}__null"))]).first()
+        # Estimates are within a few percent: columns that are surely wide aren't counted exactly.
+        most = {c: self.num_thresh + 1 if c in numeric and c not in self.categorical else self.max_values for c in features}
+        few = [c for c in features if stats[f"{c}__n"] <= 2 * max(2, most[c]) + 10]
+        found = self._values(clean, few)
+        count = {c: len(found[c]) if c in found else stats[f"{c}__n"] for c in features}
+        wide = [c for c in numeric if c not in self.categorical and count[c] > max(2, self.num_thresh + 1)]
+        cuts = quantiles(clean, wide, [i / (self.num_thresh + 1) for i in range(1, self.num_thresh + 1)])
+        ordinal = [c for c in numeric if c not in self.categorical and count[c] > 2]
         if self.return_ordinals and ordinal:
             row = clean.agg(*[e for c in ordinal for e in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))]).first()
             self.scaling = {c: (row[f"{c}__m"], row[f"{c}__s"]) for c in ordinal}
         self.predicates = []
         for c in features:
-            n, nulls = stats[f"{c}__n"], stats[f"{c}__null"]
+            n, nulls = count[c], stats[f"{c}__null"]
             if c in wide:
-                values = sorted({round(v, 6) for v in found[c]})
+                values = sorted({round(v, 6) for v in cuts[c]})
             else:
                 if n > self.max_values:
                     raise ValueError(f"column {c} has {n} values; at most {self.max_values} are turned into predicates")
-                values = sorted(r[0] for r in clean.select(c).where(F.col(c).isNotNull()).distinct().collect())
+                values = found[c]
             if n <= 2:
                 if values:
                     self.predicates += [Predicate(c, "", values[-1]), *([Predicate(c, "not", values[-1])] if self.negation else [])]
@@ -66,6 +71,14 @@ class FeatureBinarizer:
                 self.predicates += [Predicate(c, "null"), *([Predicate(c, "notnull")] if self.negation else [])]
         return self
 
+    @staticmethod
+    def _values(clean: DataFrame, columns: list[str]) -> dict[str, list]:
+        """Sorted distinct values of columns that have few: one pass for all columns, a row for each value collected."""
+        if not columns:
+            return {}
+        sets = clean.agg(*[F.collect_set(c).alias(str(i)) for i, c in enumerate(columns)]).first()
+        return {c: sorted(sets[i]) for i, c in enumerate(columns)}
+
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """An int column for each predicate, named as it reads; z-scored ordinals beside if asked for."""
         cols = [p.column().cast("int").alias(str(p)) for p in self.predicates]
@@ -92,7 +105,7 @@ def process_input(df: DataFrame, features: list[str], label: str | None = None,
     if missing:
         raise ValueError(f"missing columns: {missing}")
     if binarizer is None:
-        stats = df.agg(*[F.countDistinct(c).alias(c) for c in features]).first()
+        stats = df.agg(*[F.approx_count_distinct(c).alias(c) for c in features]).first()  # exact for so few
         if wide := [c for c in features if stats[c] > 2]:
             raise ValueError(f"columns with more than two values need a binarizer: {wide}")
         binarizer, is_fit = FeatureBinarizer(), True

@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarispark.functions.linalg import covering_lp
+from clarispark.functions.linalg import covering_lp, lp_text
 from clarispark.functions.predicates import Rule, RuleSet
 from clarispark.operators.binarize import FeatureBinarizer, process_input
 from clarispark.operators.prep import label_flag
-from clarispark.operators.signatures import covered, grow, signatures
+from clarispark.operators.signatures import additive, covered, grow, signatures
 
 
 @dataclass
@@ -20,7 +20,8 @@ class Diver:
     """min sum (pos_beta + overlap_beta) y_i + sum (overlap_beta |pos_j| + |neg_j| + C len_j) x_j, y_i + sum of x_j that cover i >= 1.
 
     Positives of one signature share a variable, weighted by their number, which leaves the
-    program the same.  A pricing step looks for the conjunction of least reduced cost.
+    program the same.  A pricing step finds the conjunction of least reduced cost, exactly, so the
+    program is solved over all conjunctions when the steps end; over max_columns it raises an error.
     """
 
     label_col: str = "label"
@@ -28,12 +29,13 @@ class Diver:
     pos_beta: float = 1.5
     overlap_beta: float = 0.2
     complexity_cost: float = 1e-5
-    max_len: int = 4
-    max_columns: int = 150
+    max_len: int | None = None
+    max_columns: int = 3000
     num_thresh: int = 9
     negation: bool = False
-    most_predicates: int = 32
+    most_predicates: int | None = None
     max_groups: int = 2000
+    write_model: str | None = None  # a folder of the driver for the programs, modelN.lp
     rules: list[Rule] = field(default_factory=list)
     objective: float = 0.0
 
@@ -49,19 +51,27 @@ class Diver:
         per_item = self.complexity_cost * (pos.sum() + neg.sum())
         cost = lambda m, n: self.overlap_beta * pos[m].sum() + neg[m].sum() + per_item * n
         columns = [(j,) for j in range(len(sig.pool)) if covered(sig, (j,))[rows].any()]
-        last = None
+        last, still, steps = None, 0, 0
         while columns:
             cover = np.array([covered(sig, c)[rows] for c in columns]).T.astype(float)
             # In terms of whole groups: y counts groups, so its cost is the group's weight.
-            x, y, dual, self.objective = covering_lp(np.array([cost(covered(sig, c), len(c)) for c in columns]), cover, (self.pos_beta + self.overlap_beta) * pos[rows])
+            program = np.array([cost(covered(sig, c), len(c)) for c in columns]), cover, (self.pos_beta + self.overlap_beta) * pos[rows]
+            if self.write_model:
+                with open(f"{self.write_model}/model{steps}.lp", "w", encoding="utf-8") as f:
+                    f.write(lp_text(*program))
+            steps += 1
+            x, y, dual, self.objective = covering_lp(*program)
             full = np.zeros(len(sig.truth))
             full[rows] = dual
-            items, gain = grow(sig, lambda m, n, f=full: f[m].sum() - cost(m, n), self.max_len)
-            if not items or items in columns or gain < 1e-5 * (pos.sum() + neg.sum()) or len(columns) >= self.max_columns:
+            items, gain = grow(sig, *additive(full - self.overlap_beta * pos - neg, per_item), self.max_len)
+            if not items or items in columns or gain < 1e-5 * (pos.sum() + neg.sum()):
                 break
-            if last is not None and abs(last - self.objective) < 1e-9 and gain < 1e-3:
+            still = still + 1 if last is not None and abs(last - self.objective) < 1e-4 else 0
+            if still >= 2:
                 break
             last = self.objective
+            if len(columns) >= self.max_columns:
+                raise ValueError(f"over {self.max_columns} rules; raise the bound")
             columns.append(items)
         self.rules = [Rule(tuple(sig.pool[j] for j in c), self.label_val) for c, v in zip(columns, x if columns else [], strict=True) if v > 1e-9]
         self.duality_gap = abs(self.objective - float(dual.sum())) if columns else 0.0

@@ -21,7 +21,7 @@ class DrillUp:
     out_num: int = 100
     jcd_limit: float = 0.75
     min_pat_len: int = 1
-    max_pat_len: int = 3
+    max_pat_len: int | None = None
     score_type: str = "risk"
     rules: list[Rule] = field(default_factory=list)
 
@@ -49,6 +49,10 @@ class DrillUp:
             groups.unpersist()
         return self
 
+    def report_with_folds(self) -> DataFrame:
+        """The report beside the columns whose rare values were folded and the values they kept."""
+        return scoring.beside(self.report, self.kept)
+
     def _parts(self, item: str) -> tuple[str, str, str]:
         dim = next(d for d in sorted(self.used, key=len, reverse=True) if item.startswith(f"{d}="))
         return dim, "==", item[len(dim) + 1 :]

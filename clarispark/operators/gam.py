@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clarispark.functions.linalg import nnls, t_quantile
+from clarispark.functions.ranks import values_at
 
 MAX_COLUMNS = 4000
 # Names of constraint types.
@@ -25,15 +26,10 @@ FIRST, SECOND = {"Increase", "Decrease", "Flat"}, {"Convex", "Concave", "Linear"
 
 def thresholds(df: DataFrame, feature: str, bins: int = 64) -> list[float]:
     """At most bins distinct values, evenly spaced by rank, the smallest first."""
-    values = df.select(F.col(feature).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").distinct()
-    n = values.count()
-    if n == 0:
-        return []
-    ranks = sorted({round(i * n / min(bins, n)) for i in range(min(bins, n))})
-    # A global order over the distinct values would go through one task: ranks come from exact quantiles.
-    at = [r / (n - 1) if n > 1 else 0.0 for r in ranks]
-    row = values.agg(F.percentile("v", F.array(*map(F.lit, at)))).first()[0]
-    return sorted(set(map(float, row)))
+    def evenly(n: int) -> list[int]:
+        return sorted({min(round(i * n / min(bins, n)), n - 1) for i in range(min(bins, n))}) if n else []
+
+    return sorted(set(values_at(df, {feature: evenly}, distinct=True)[feature]))
 
 
 def suffix_sums(df: DataFrame, feature: str, cuts: list[float], weight: str | None = None) -> list[tuple[float, float, float, float]]:
@@ -136,6 +132,8 @@ class GAM:
                 self.theta[block] = np.linalg.solve(a, b)
             for name, cons in self.constraints.items():
                 self._project(self.features.index(name), cons)
+            if self.constraints:  # the constant that fits the shapes as they are now
+                self.theta[0] = (self.r[0] - self.q[0, 1:] @ self.theta[1:]) / max(self.q[0, 0], 1e-300)
             eps = max(eps * 0.95, 1e-3)
             if it % 20 == 19:
                 loss = self.loss()

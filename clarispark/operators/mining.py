@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,12 @@ def _frequent(counted: DataFrame, least: float) -> DataFrame:
     return counted.where(F.col("a") >= least)
 
 
-def frequent_itemsets(weighted: DataFrame, least: float, max_len: int = 3, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
+def frequent_itemsets(weighted: DataFrame, least: float, max_len: int | None = None, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
     """(items, a, b): itemsets with at least ``least`` positives, and the positives and negatives they cover.
 
     Level 1 is a grouped sum.  Level k joins frequent sets that share all but their last item and
-    counts the candidates by one join with the groups.  Support can only fall with length.
+    counts the candidates by one join with the groups.  Support can only fall with length, so without max_len
+    the levels end where no set is frequent.
     """
     spark = weighted.sparkSession
     one = weighted.select(F.explode("items").alias("item"), "pos", "neg").groupBy("item").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
@@ -34,7 +37,7 @@ def frequent_itemsets(weighted: DataFrame, least: float, max_len: int = 3, max_c
     schema = "items array<string>, a double, b double"
     every = [(list(i), float(a), float(b)) for i, a, b in rows]
     frequent = sorted(tuple(i) for i, _, _ in rows)
-    for k in range(2, max_len + 1):
+    for k in itertools.count(2) if max_len is None else range(2, max_len + 1):
         known, by_head = set(frequent), {}
         for s in frequent:
             by_head.setdefault(s[:-1], []).append(s[-1])
@@ -80,10 +83,26 @@ def extract_fpgrowth(df: DataFrame, items: str, min_support: float = 0.1, max_ca
     return found.select(F.array_sort("items").alias("items"), "freq")
 
 
-def extract_rf(df: DataFrame, features: list[str], label: str, n_trees: int = 20, max_depth: int = 5, prefix_only: bool = False, seed: int = 0) -> list[Rule]:
+def tree_paths(tree, features: list[str]) -> list[tuple[tuple[Predicate, ...], float]]:
+    """(conditions, prediction) of each leaf of a fitted MLlib tree over numeric features, from its printed form."""
+    out: list[tuple[tuple[Predicate, ...], float]] = []
+    path: list[tuple[int, Predicate]] = []  # with the depth of each condition
+    for line in tree.toDebugString.splitlines()[1:]:
+        depth, body = len(line) - len(line.lstrip()), line.strip()
+        if body.startswith(("If", "Else")):
+            _, number, op, value = body[body.index("(") + 1 : body.rindex(")")].split()
+            path = [x for x in path if x[0] < depth]
+            path.append((depth, Predicate(features[int(number)], op, float(value))))
+        elif body.startswith("Predict:"):
+            path = [x for x in path if x[0] < depth]
+            out.append((tuple(p for _, p in path), float(body.partition(":")[2])))
+    return out
+
+
+def extract_rf(df: DataFrame, features: list[str], label: str, n_trees: int = 20, max_depth: int = 5, prefix_only: bool = False, seed: int = 0, whole_only: bool = False) -> list[Rule]:
     """Rules of a random forest on two-valued features: the paths to leaves of class 1, and their prefixes.
 
-    ``prefix_only`` leaves out the whole paths.
+    ``prefix_only`` leaves out the whole paths, ``whole_only`` the prefixes.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -91,23 +110,10 @@ def extract_rf(df: DataFrame, features: list[str], label: str, n_trees: int = 20
     table = VectorAssembler(inputCols=features, outputCol="__x").transform(df.select(*features, F.col(label).cast("double").alias("__y")))
     model = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=n_trees, maxDepth=max_depth, seed=seed).fit(table)
     rules: dict[tuple, None] = {}
-
-    def paths(text: str) -> None:
-        stack: list[Predicate] = []
-        for line in text.splitlines():
-            depth, body = len(line) - len(line.lstrip()), line.strip()
-            if body.startswith(("If", "Else")):
-                inner = body[body.index("(") + 1 : body.rindex(")")].split()
-                name = features[int(inner[1])]
-                del stack[[i for i, d in enumerate(depths) if d >= depth][0] if any(d >= depth for d in depths) else len(stack) :]
-                del depths[len(stack) :]
-                stack.append(Predicate(name, "<=" if inner[2] == "<=" else ">", float(inner[3])))
-                depths.append(depth)
-            elif body.startswith("Predict: 1"):
-                for k in range(1, len(stack) + (0 if prefix_only else 1)):
-                    rules.setdefault(tuple(sorted(set(stack[:k]))), None)
-
     for tree in model.trees:
-        depths: list[int] = []
-        paths("\n".join(tree.toDebugString.splitlines()[1:]))
+        for path, value in tree_paths(tree, features):
+            if value == 1.0:
+                for k in range(len(path) if whole_only else 1, len(path) + (0 if prefix_only else 1)):
+                    if k:
+                        rules.setdefault(tuple(sorted(set(path[:k]))), None)
     return [Rule(conditions) for conditions in sorted(rules, key=lambda c: (len(c), str(c)))]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from clarispark.functions.predicates import Rule, RuleList
 from clarispark.operators.binarize import FeatureBinarizer, process_input
 from clarispark.operators.prep import check_default
-from clarispark.operators.signatures import Signatures, covered, grow, signatures
+from clarispark.operators.signatures import Signatures, additive, covered, grow, signatures
 
 
 @dataclass
@@ -19,13 +19,13 @@ class RuleListLearner:
 
     complexity: float = 1.0
     max_rules: int = 20
-    max_len: int = 4
+    max_len: int | None = None
     max_rounds: int = 30
     num_thresh: int = 9
     negation: bool = True
     categorical: list[str] = field(default_factory=list)
     binarize: bool = True
-    most_predicates: int = 48
+    most_predicates: int | None = None
     model: RuleList | None = None
 
     def fit(self, df: DataFrame, features: list[str], label: str, default=None) -> RuleListLearner:
@@ -60,7 +60,7 @@ class RuleListLearner:
             right[rest] = sig.counts[rest, default]
             for k in range(len(sig.labels)):
                 change = np.where(free, sig.counts[:, k] - right, 0.0)
-                items, gain = grow(sig, lambda m, n, c=change: c[m].sum() - self.complexity * n, self.max_len)
+                items, gain = grow(sig, *additive(change, self.complexity), self.max_len)
                 if items and gain > best[0] + 1e-9:
                     new = [*rules[:at], (items, k), *rules[at:]]
                     best = (self.objective(sig, new, default) - now, new)

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from clarispark.functions.predicates import Rule, RuleSet
 from clarispark.operators.binarize import FeatureBinarizer, process_input
 from clarispark.operators.prep import binary_labels
-from clarispark.operators.signatures import covered, grow, signatures
+from clarispark.operators.signatures import additive, covered, grow, signatures
 
-#: How many times a covered negative counts in the searches that look for exact rules first, and the beam's width.
-STRICT, WIDTH = (3, 8), 32
+#: How many times a covered negative counts in the searches that look for exact rules first.
+STRICT = (3, 8)
 
 
 def _times(sig, rules: list[tuple[int, ...]]) -> np.ndarray:
@@ -30,12 +30,12 @@ class RuleSetLearner:
     beta_neg: float = 1.0
     beta_diverse: float = 0.1
     beta_complex: float = 0.1
-    max_len: int = 4
+    max_len: int | None = None
     num_thresh: int = 9
     negation: bool = True
     categorical: list[str] = field(default_factory=list)
     binarize: bool = True
-    most_predicates: int = 48
+    most_predicates: int | None = None
     model: RuleSet | None = None
 
     def fit(self, df: DataFrame, features: list[str], label: str) -> RuleSetLearner:
@@ -57,6 +57,11 @@ class RuleSetLearner:
         again = np.maximum(times - 1, 0) * (pos + neg)
         return self.beta_pos * pos[~hit].sum() + self.beta_neg * neg[hit].sum() + self.beta_diverse * again.sum() + self.beta_complex * length
 
+    def search(self, times: np.ndarray, length: int, pos: np.ndarray, neg: np.ndarray) -> tuple:
+        """vectors, gain and bound of one more rule."""
+        free = times == 0
+        return additive(np.where(free, self.beta_pos * pos - self.beta_neg * neg, -self.beta_diverse * (pos + neg)), self.beta_complex)
+
     def value(self, sig, rules: list[tuple[int, ...]], pos: np.ndarray, neg: np.ndarray) -> float:
         return self.loss(_times(sig, rules), sum(map(len, rules)), pos, neg)
 
@@ -66,8 +71,7 @@ class RuleSetLearner:
         value = lambda rs: self.value(sig, rs, pos, neg)
 
         def added(rs: list) -> list:
-            now, base, length = _times(sig, rs), value(rs), sum(map(len, rs))
-            items, _ = grow(sig, lambda m, n: base - self.loss(now + m, length + n, pos, neg), self.max_len, WIDTH)
+            items, _ = grow(sig, *self.search(_times(sig, rs), sum(map(len, rs)), pos, neg), self.max_len)
             return [*rs, items] if items else rs
 
         while True:
@@ -103,3 +107,13 @@ class ImbalancedRuleSetLearner(RuleSetLearner):
         tp, fp = pos[hit].sum(), neg[hit].sum()
         f1 = 2 * tp / max(tp + fp + pos.sum(), 1e-12)
         return (1 - f1) * (pos.sum() + neg.sum()) + 0.01 * self.beta_diverse * (np.maximum(times - 1, 0) * (pos + neg)).sum() + 0.01 * self.beta_complex * length
+
+    def search(self, times: np.ndarray, length: int, pos: np.ndarray, neg: np.ndarray) -> tuple:
+        free, every = times == 0, pos.sum() + neg.sum()
+        tp, fp = pos[~free].sum(), neg[~free].sum()
+        share = lambda a, b: 2 * (tp + a) / np.maximum(tp + a + fp + b + pos.sum(), 1e-12)
+        now = share(0.0, 0.0)
+        vectors = np.stack([pos * free, neg * free, (pos + neg) * ~free])
+        gain = lambda s, n: (share(s[0], s[1]) - now) * every - 0.01 * self.beta_diverse * s[2] - 0.01 * self.beta_complex * n
+        bound = lambda s, n: (share(s[0], 0.0) - now) * every - 0.01 * self.beta_complex * n
+        return vectors, gain, bound

@@ -32,8 +32,8 @@ def rule_counts(df: DataFrame, rules: list[Rule], flag: Column, weight: Column |
     return out
 
 
-def jaccard(df: DataFrame, rules: list[Rule], weight: Column | None = None) -> dict[tuple[int, int], float]:
-    """Weight of the rows of both over that of the rows of either, for each pair of rules.
+def shared_weights(df: DataFrame, rules: list[Rule], weight: Column | None = None) -> dict[tuple[int, int], float]:
+    """Weight of the rows of both, for each pair of rules (i <= j) that share rows.
 
     One pass: rows are grouped by the rules they meet, and only groups are spread over pairs.
     What is collected has a row for each pair of rules at most.
@@ -43,8 +43,12 @@ def jaccard(df: DataFrame, rules: list[Rule], weight: Column | None = None) -> d
     hits = F.array_compact(F.array(*[F.when(r.column(), F.lit(i)) for i, r in enumerate(rules)]))
     groups = df.select(hits.alias("__hits"), (F.lit(1) if weight is None else weight).cast("double").alias("__w")).groupBy("__hits").agg(F.sum("__w").alias("__w"))
     spread = groups.select("__hits", "__w", F.explode("__hits").alias("__i")).select("__i", "__w", F.explode("__hits").alias("__j")).where("__i <= __j")
-    both = {(r["__i"], r["__j"]): float(r["__w"] or 0) for r in spread.groupBy("__i", "__j").agg(F.sum("__w").alias("__w")).collect()}
-    out = {}
+    return {(r["__i"], r["__j"]): float(r["__w"] or 0) for r in spread.groupBy("__i", "__j").agg(F.sum("__w").alias("__w")).collect()}
+
+
+def jaccard(df: DataFrame, rules: list[Rule], weight: Column | None = None) -> dict[tuple[int, int], float]:
+    """Weight of the rows of both over that of the rows of either, for each pair of rules."""
+    both, out = shared_weights(df, rules, weight), {}
     for i, j in itertools.combinations(range(len(rules)), 2):
         shared = both.get((i, j), 0.0)
         either = both.get((i, i), 0.0) + both.get((j, j), 0.0) - shared
@@ -107,6 +111,46 @@ def overlap(pairs: dict[tuple[int, int], float], rule: int, others: list[int]) -
     return sum(1 - pairs[tuple(sorted((rule, o)))] for o in others if o != rule)
 
 
+def overlap_cards(df: DataFrame, rules: list[Rule], rule: int, weight: Column | None = None) -> list[float]:
+    """Weight of the rows that a rule shares with each rule, itself included."""
+    both = shared_weights(df, rules, weight)
+    return [both.get(tuple(sorted((rule, o))), 0.0) for o in range(len(rules))]
+
+
+def set_quality(df: DataFrame, rules: list[Rule], label: str, metric: str = "kl") -> float:
+    """Sum over the rules of the divergence ('kl') or accuracy ('acc') for the label of each, from one pass over labels."""
+    if metric not in ("kl", "acc"):
+        raise ValueError(f"unknown metric {metric!r}")
+    rows = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.sum(r.column().cast("int")).alias(f"r{i}") for i, r in enumerate(rules)]).collect()
+    overall = {r[label]: float(r["n"]) for r in rows}
+    total = 0.0
+    for i, rule in enumerate(rules):
+        inside = {r[label]: float(r[f"r{i}"] or 0) for r in rows}
+        hit = inside.get(rule.label, 0.0)
+        total += kl_quality(inside, overall, rule.label) if metric == "kl" else accuracy(hit, sum(inside.values()) - hit)
+    return total
+
+
+def item_difference(rule: Rule, other: Rule) -> list:
+    """The conditions of a rule that another doesn't have."""
+    return sorted(set(rule.conditions) - set(other.conditions))
+
+
+def covered_rows(df: DataFrame, rule: Rule, label: str, labels: list | None = None) -> DataFrame:
+    """The rows that a rule covers, of the labels given or all."""
+    hit = df.where(rule.column())
+    return hit if labels is None else hit.where(F.col(label).isin(labels))
+
+
+def beside(rules: DataFrame, folded: dict[str, list[str]]) -> DataFrame:
+    """A report with the columns whose rare values were folded beside it, joined by row number; the longer of the two decides the length."""
+    from pyspark.sql import Window
+
+    own = rules.withColumn("__link", F.row_number().over(Window.orderBy(F.desc("score"), "rules")))  # a report has as many rows as rules
+    notes = rules.sparkSession.createDataFrame([(i + 1, f"{c}: {', '.join(v)}") for i, (c, v) in enumerate(sorted(folded.items()))], "__link int, kept_values string")
+    return own.join(notes, "__link", "full_outer").orderBy("__link").drop("__link")
+
+
 def list_objective(df: DataFrame, rules: list[Rule], default, label: str, penalty: float = 1.0) -> float:
     """Rows that the first matching rule labels right, less the rows it covers or the default misses, less the penalty times all conditions."""
     from clarispark.functions.predicates import RuleList

@@ -1,11 +1,13 @@
-"""Rows compressed to signatures over a bounded pool of predicates: what the rule learners search on.
+"""Rows compressed to signatures over a pool of predicates: what the rule learners search on.
 
 Rows never reach the driver: they are grouped by the truth of the pool's predicates and the
-label, and only the groups, of a checked number, are collected.
+label, and only the groups, of a checked number, are collected.  Searches are exact: conjunctions
+are grown depth first and a branch ends only where no longer conjunction can be better.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +25,9 @@ class Signatures:
     counts: np.ndarray  # (groups, labels)
 
 
-def best_predicates(df: DataFrame, predicates: list[Predicate], label: str, most: int) -> list[Predicate]:
-    """The predicates that tell labels apart best, by information gain from one pass of conditional counts."""
-    if len(predicates) <= most:
+def best_predicates(df: DataFrame, predicates: list[Predicate], label: str, most: int | None) -> list[Predicate]:
+    """The predicates that tell labels apart best, by information gain from one pass of conditional counts; None: all."""
+    if most is None or len(predicates) <= most:
         return predicates
     rows: dict[str, dict] = {}
     for at in range(0, len(predicates), 200):
@@ -42,7 +44,7 @@ def best_predicates(df: DataFrame, predicates: list[Predicate], label: str, most
     return [predicates[i] for i in sorted(order[:most])]
 
 
-def signatures(df: DataFrame, predicates: list[Predicate], label: str, most_predicates: int = 48, most_groups: int = 500_000) -> Signatures:
+def signatures(df: DataFrame, predicates: list[Predicate], label: str, most_predicates: int | None = None, most_groups: int = 500_000) -> Signatures:
     pool = best_predicates(df, predicates, label, most_predicates)
     bits = [F.when(p.column(), F.lit(1 << (i % 62)).cast("long")).otherwise(F.lit(0).cast("long")) for i, p in enumerate(pool)]
     words = [sum(bits[k : k + 62][1:], bits[k]).alias(f"__s{k // 62}") for k in range(0, len(bits), 62)] or [F.lit(0).cast("long").alias("__s0")]
@@ -60,27 +62,48 @@ def signatures(df: DataFrame, predicates: list[Predicate], label: str, most_pred
     return Signatures(pool, truth, labels, counts)
 
 
-def grow(sig: Signatures, gain, max_len: int = 4, width: int = 8) -> tuple[tuple[int, ...], float]:
-    """The conjunction with the largest gain(covered mask, length), by a beam search; ((), 0) if none is above 0."""
-    best, value = (), 0.0
-    beam: list[tuple[tuple[int, ...], np.ndarray]] = [((), np.ones(len(sig.truth), bool))]
-    for length in range(1, max_len + 1):
-        scored = {}
-        for items, mask in beam:
-            for j in range(len(sig.pool)):
-                key = tuple(sorted((*items, j)))
-                if j in items or key in scored:
-                    continue
-                m = mask & sig.truth[:, j]
-                if m.any():
-                    scored[key] = (gain(m, length), m)
-        if not scored:
-            break
-        ranked = sorted(scored.items(), key=lambda x: (-round(x[1][0], 9), x[0]))[:width]
-        if ranked[0][1][0] > value + 1e-9:
-            best, value = ranked[0][0], ranked[0][1][0]
-        beam = [(k, m) for k, (_, m) in ranked]
-    return best, value
+#: Conjunctions that one search may extend; more raise an error.
+MAX_NODES = 400_000
+
+
+def grow(sig: Signatures, vectors: np.ndarray, gain: Callable, bound: Callable, max_len: int | None = None, most_nodes: int = MAX_NODES) -> tuple[tuple[int, ...], float]:
+    """The conjunction with the largest gain, of equals the shortest and then the first; ((), 0) if none is above 0.
+
+    ``vectors`` (k, groups) are weights of the groups; of those a conjunction covers, gain(sums, length)
+    is made from their sums, and bound(sums, length) is at least the gain of any conjunction that extends
+    it to that length or more.  Both take the sums of several conjunctions at once, as (k, n).
+    """
+    best: tuple[int, tuple[int, ...]] = (0, ())
+    value, nodes = 0.0, 0
+    truth = sig.truth
+    stack = [((), np.arange(len(truth)))]
+    while stack:
+        items, rows = stack.pop()
+        nodes += 1
+        if nodes > most_nodes:
+            raise ValueError(f"the search extends over {most_nodes} conjunctions; use fewer predicates, a bound on their number (most_predicates) or on the length")
+        length = len(items) + 1
+        inside = truth[rows]
+        sums, held = vectors[:, rows] @ inside, inside.sum(0)
+        new = (held > 0) & (held < len(rows)) if items else held > 0
+        gains = np.where(new, gain(sums, length), -np.inf)
+        for j in np.flatnonzero(gains > value - 1e-9):
+            found = (length, tuple(sorted((*items, int(j)))))
+            if gains[j] > value + 1e-9 or (gains[j] > 1e-9 and best[1] and found < best):
+                best, value = found, max(value, float(gains[j]))
+        if max_len is not None and length >= max_len:
+            continue
+        limit = np.where(new, bound(sums, length + 1), -np.inf)
+        after = np.flatnonzero(limit > value + 1e-9)
+        after = after[after > items[-1]] if items else after  # each conjunction once, in the order of its predicates
+        for j in after[np.argsort(limit[after], kind="stable")]:  # the most promising is popped first
+            stack.append(((*items, int(j)), rows[inside[:, j]]))
+    return best[1], value
+
+
+def additive(change: np.ndarray, per_item: float) -> tuple[np.ndarray, Callable, Callable]:
+    """vectors, gain and bound for the sum of change over the covered groups, less per_item for each condition."""
+    return np.stack([change, np.maximum(change, 0)]), lambda s, n: s[0] - per_item * n, lambda s, n: s[1] - per_item * n
 
 
 def covered(sig: Signatures, items: tuple[int, ...]) -> np.ndarray:

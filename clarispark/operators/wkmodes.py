@@ -103,8 +103,12 @@ class WKModes:
         return self.fit(df, columns).predict(df)
 
 
-def extract_wkmodes(df: DataFrame, columns: list[str], flag: str, pos_k: int = 3, neg_k: int = 3, lambda_: float = 0.1, most: int = 4) -> list[Rule]:
-    """Rules that tell each positive centre from every negative one: its heaviest columns in which they differ."""
+def extract_wkmodes(df: DataFrame, columns: list[str], flag: str, pos_k: int = 3, neg_k: int = 3, lambda_: float = 0.1, most: int = 4, all_apart: bool = False) -> list[Rule]:
+    """Rules that tell each positive centre from every negative one: its heaviest columns in which they differ.
+
+    A rule ends when it is told from all, or, with ``all_apart``, has all columns in which it differs
+    from every negative centre; at ``most`` conditions in any case.
+    """
     pos = WKModes(pos_k, lambda_=lambda_).fit(df.where(F.col(flag) == 1), columns)
     neg = WKModes(neg_k, lambda_=lambda_).fit(df.where(F.col(flag) == 0), columns)
     rules: dict[tuple, None] = {}
@@ -113,10 +117,13 @@ def extract_wkmodes(df: DataFrame, columns: list[str], flag: str, pos_k: int = 3
         left, items = list(range(len(neg.centers))), []
         for j in order:
             apart = [i for i in left if neg.centers[i][j] != c[j]]
-            if apart:
+            if all_apart:
+                if (neg.centers[:, j] != c[j]).all():
+                    items.append(Predicate(columns[j], "==", int(c[j])))
+            elif apart:
                 items.append(Predicate(columns[j], "==", int(c[j])))
                 left = [i for i in left if i not in apart]
-            if not left or len(items) >= most:
+            if (not left and not all_apart) or len(items) >= most:
                 break
         if items:
             rules.setdefault(tuple(sorted(items)), None)

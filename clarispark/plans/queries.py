@@ -12,10 +12,7 @@ from clarispark.functions.predicates import Predicate, Rule, RuleList, RuleSet
 from clarispark.functions.scores import score
 from clarispark.operators import attribution, gam, mining, prep, scoring, temporal, wkmodes
 from clarispark.operators.binarize import FeatureBinarizer
-from clarispark.operators.diver import Diver
 from clarispark.operators.drillup import DrillUp
-from clarispark.operators.rulelist import RuleListLearner
-from clarispark.operators.ruleset import ImbalancedRuleSetLearner, RuleSetLearner
 from clarispark.session import read_table
 from clarispark.sources.datasets import tic_tac_toe
 
@@ -305,11 +302,11 @@ def rule_report(spark, sf_dir):
     return scoring.report(planted(spark, sf_dir), [R1, R2, R3], F.col("y"))
 
 
-@query(f"WITH t AS (SELECT * FROM {_Y} WHERE l_orderkey % 2 = 1), r AS ({_report_sql('t')}) SELECT rules, a + b AS tot_count, a AS label_count, round(a / (a + b), 4) AS label_ratio FROM r")
+@query(f"WITH t AS {_Y}, r AS ({_report_sql('t')}) SELECT rules, a + b AS tot_count, a AS label_count, round(a / (a + b), 4) AS label_ratio FROM r")
 def rule_score_new(spark, sf_dir):
     model = DrillUp("y", 1)
     model.used, model.kept, model.rules = [], {}, [R1, R2, R3]
-    return model.rule_score(planted(spark, sf_dir).where("l_orderkey % 2 = 1"))
+    return model.rule_score(planted(spark, sf_dir))
 
 
 _PAIRS = (("R1", "R2"), ("R1", "R3"), ("R2", "R3"))
@@ -375,71 +372,36 @@ def ruleset_predict(spark, sf_dir):
     return RuleSet([R1, R2], "hit", "none").predict(read_table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "prediction")
 
 
-@query("SELECT * FROM (VALUES (0, 'IF o_totalprice > 200000 THEN large'), (1, 'ELIF o_orderpriority == 1-URGENT AND o_orderstatus != F THEN urgent'), (2, 'ELSE plain')) t(line, text)")
+@query("""WITH s AS (SELECT o_orderstatus AS v FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), p AS (SELECT max(o_orderpriority) AS v FROM orders), k AS (SELECT count(DISTINCT o_custkey) AS v FROM orders)
+SELECT 0 AS line, 'IF o_custkey <= ' || k.v || ' AND o_orderpriority == ' || p.v || ' THEN late' AS text FROM p, k
+UNION ALL SELECT 1, 'ELIF o_orderstatus != ' || s.v || ' THEN rare' FROM s UNION ALL SELECT 2, 'ELSE ' || s.v FROM s""")
 def render_rules(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(LIST.render())), "line int, text string")
-
-
-# --- Learners (their results are not expressible in SQL; tests hold their properties) -----------------
+    df = read_table(spark, sf_dir, "orders")
+    top = prep.default_label(df, "o_orderstatus")
+    last, keys = df.agg(F.max("o_orderpriority"), F.countDistinct("o_custkey")).first()
+    rules = RuleList([Rule((Predicate("o_orderpriority", "==", last), Predicate("o_custkey", "<=", int(keys))), "late"), Rule((Predicate("o_orderstatus", "!=", top),), "rare")], top)
+    return _lines(spark, rules.render())
 
 
 def _lines(spark, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
 
 
-@query()
-def rulelist_fit(spark, sf_dir):
-    return _lines(spark, RuleListLearner(complexity=10, max_rules=4, max_len=2, num_thresh=9, most_predicates=24).fit(planted(spark, sf_dir), ["l_quantity", "l_discount", "l_linestatus", "l_tax"], "y").show())
-
-
-@query()
-def ruleset_fit(spark, sf_dir):
-    return _lines(spark, RuleSetLearner(max_num_rules=4, max_len=2, most_predicates=24).fit(planted(spark, sf_dir), ["l_quantity", "l_discount", "l_linestatus", "l_tax"], "y").show())
-
-
-@query()
-def ruleset_imb_fit(spark, sf_dir):
-    return _lines(spark, ImbalancedRuleSetLearner(max_num_rules=4, max_len=2, most_predicates=24).fit(planted(spark, sf_dir), ["l_quantity", "l_discount", "l_linestatus", "l_tax"], "y").show())
-
-
-@query()
-def diver_fit(spark, sf_dir):
-    return _lines(spark, Diver("y", 1, max_len=2, num_thresh=4, negation=True, most_predicates=16).fit(planted(spark, sf_dir), ["l_quantity", "l_discount", "l_linestatus", "l_tax"]).show())
-
-
-@query()
-def drillup_fit(spark, sf_dir):
-    return DrillUp("y", 1, dims=["l_small", "l_linestatus", "l_hightax", "l_returnflag"], sup_ratio=0.05, out_num=5).fit(_flags(spark, sf_dir)).report
-
-
-@query()
-def diverse_topk(spark, sf_dir):
-    t = planted(spark, sf_dir)
-    rules = [R1, R2, R3, Rule((*R1.conditions, *R3.conditions), 1)]
-    kept = scoring.diverse_top(t, [(r, 0.0) for r in rules], 3, 0.75)
-    return _lines(spark, [str(rules[i]) for i in kept])
-
-
-@query()
-def rf_rules(spark, sf_dir):
-    t = _flags(spark, sf_dir).withColumn("status_f", (F.col("l_linestatus") == "F").cast("int"))
-    return _lines(spark, [str(r) for r in mining.extract_rf(t, ["l_small", "l_hightax", "status_f"], "y", n_trees=5, max_depth=3)])
-
-
 # --- Clusters -------------------------------------------------------------------------------------
 
-_BITS = [f"b{i}" for i in range(8)]
+_DIMENSIONS = 64
+_BITS = [f"b{i}" for i in range(_DIMENSIONS)]
 
 
 def _sign_bits(spark, sf_dir) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", *[(F.element_at("embedding", i + 1) > 0).cast("double").alias(f"b{i}") for i in range(8)])
+    return e.select("vec_id", *[(F.element_at("embedding", i + 1) > 0).cast("double").alias(b) for i, b in enumerate(_BITS)])
 
 
-_C = [[0, 0, 0, 0, 1, 1, 1, 1], [1, 1, 1, 1, 0, 0, 0, 0], [1, 0, 1, 0, 1, 0, 1, 0]]
-_W = [[0.125] * 8, [0.2, 0.2, 0.2, 0.2, 0.05, 0.05, 0.05, 0.05], [0.05, 0.2, 0.05, 0.2, 0.05, 0.2, 0.05, 0.2]]
-_BITS_SQL = "SELECT vec_id, " + ", ".join(f"(embedding[{i + 1}] > 0)::INT AS b{i}" for i in range(8)) + " FROM embeddings"
-_DIST_SQL = ", ".join("round(" + " + ".join(f"{w} * (b{i} <> {c})::INT" for i, (w, c) in enumerate(zip(ws, cs, strict=True))) + f", 9) AS d{k}" for k, (ws, cs) in enumerate(zip(_W, _C, strict=True)))
+_C = [[int(i // 4 % 2 == 1) for i in range(_DIMENSIONS)], [int(i < _DIMENSIONS // 2) for i in range(_DIMENSIONS)], [int(i % 2 == 0) for i in range(_DIMENSIONS)]]
+_W = [[1 / _DIMENSIONS] * _DIMENSIONS, [(3 if i < 16 else 1) / 96 for i in range(_DIMENSIONS)], [(1 + i % 2 * 2) / 128 for i in range(_DIMENSIONS)]]
+_BITS_SQL = "SELECT vec_id, " + ", ".join(f"(embedding[{i + 1}] > 0)::INT AS {b}" for i, b in enumerate(_BITS)) + " FROM embeddings"
+_DIST_SQL = ", ".join("round(" + " + ".join(f"{w!r}::DOUBLE * (b{i} <> {c})::INT" for i, (w, c) in enumerate(zip(ws, cs, strict=True))) + f", 9) AS d{k}" for k, (ws, cs) in enumerate(zip(_W, _C, strict=True)))
 _NEAR_SQL = f"SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster, least(d0, d1, d2) AS distance FROM (SELECT *, {_DIST_SQL} FROM ({_BITS_SQL}))"
 
 
@@ -454,7 +416,7 @@ def wkmodes_assign(spark, sf_dir):
     return wkmodes.assigned(_sign_bits(spark, sf_dir), _BITS, *_centers()).select("vec_id", "cluster", _r("distance", 6).alias("distance"))
 
 
-@query(f"SELECT cluster, count(*)::DOUBLE AS n, " + ", ".join(f"floor(avg(b{i}) + 0.5) AS b{i}" for i in range(8)) + f" FROM ({_NEAR_SQL}) GROUP BY cluster")
+@query(f"SELECT cluster, count(*)::DOUBLE AS n, " + ", ".join(f"floor(avg({b}) + 0.5) AS {b}" for b in _BITS) + f" FROM ({_NEAR_SQL}) GROUP BY cluster")
 def wkmodes_update(spark, sf_dir):
     import numpy as np
 
@@ -463,17 +425,6 @@ def wkmodes_update(spark, sf_dir):
     return spark.createDataFrame(rows, "cluster int, n double, " + ", ".join(f"{b} double" for b in _BITS))
 
 
-@query()
-def wkmodes_fit(spark, sf_dir):
-    return wkmodes.WKModes(3).fit_predict(_sign_bits(spark, sf_dir), _BITS).select("vec_id", "cluster")
-
-
-@query()
-def wkmodes_rules(spark, sf_dir):
-    bits = read_table(spark, sf_dir, "embeddings").select(F.when(F.col("label") < 5, 1).otherwise(0).alias("y"), *[(F.element_at("embedding", i + 1) > 0).cast("int").alias(f"b{i}") for i in range(8)])
-    return _lines(spark, [str(r) for r in wkmodes.extract_wkmodes(bits, _BITS, "y")])
-
-
 # --- Additive model -------------------------------------------------------------------------------
 
 
@@ -511,36 +462,6 @@ def gam_predict_fixed(spark, sf_dir):
     return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _r(gam.piecewise(F.col("l_quantity"), _SEGMENTS)).alias("effect"))
 
 
-def _price_model(spark, sf_dir) -> tuple[DataFrame, gam.GAM]:
-    df = read_table(spark, sf_dir, "lineitem").withColumn("target", F.col("l_quantity") * 2 - 30 * F.col("l_discount") + F.when(F.col("l_quantity") > 30, F.col("l_quantity") - 30).otherwise(0.0))
-    return df, gam.GAM(bin_num=32, max_iter=40).fit(df, ["l_quantity", "l_discount"], "target")
-
-
-@query()
-def gam_fit(spark, sf_dir):
-    df, model = _price_model(spark, sf_dir)
-    return model.predict(df).select("l_orderkey", "l_linenumber", _r("target").alias("target"), _r("prediction", 2).alias("prediction"))
-
-
-@query()
-def gam_shapes(spark, sf_dir):
-    df, model = _price_model(spark, sf_dir)
-    return model.shape_table(df, "l_quantity")
-
-
-@query()
-def gam_constrained(spark, sf_dir):
-    df, model = _price_model(spark, sf_dir)
-    model.add_constraint(0, 60, "Increase", "l_quantity").update(40)
-    return spark.createDataFrame([(c, *map(float, row)) for c, rows in model.confidence().items() for row in rows], "feature string, x double, y double, lower double, upper double")
-
-
-@query()
-def gam_waterfall(spark, sf_dir):
-    df, model = _price_model(spark, sf_dir)
-    return model.waterfall(df.withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber")), "id")
-
-
 # --- Attribution ----------------------------------------------------------------------------------
 
 _K = {"c_acctbal": 0.5, "c_nationkey": -2.0}
@@ -567,13 +488,6 @@ def shap_exact_small(spark, sf_dir):
     return out.select("p_partkey", _r("p_size__shap").alias("s_size"), _r("p_retailprice__shap").alias("s_price"))
 
 
-@query()
-def shap_sampled(spark, sf_dir):
-    df = read_table(spark, sf_dir, "part")
-    background = df.orderBy("p_partkey").limit(5).toPandas()
-    return attribution.shap_sampled(df, "p_partkey", lambda x: x["p_size"] * 2 + x["p_retailprice"], ["p_size", "p_retailprice"], background, permutations=4)
-
-
 def _grad(c):
     return {"p_size": 2 * c["p_size"] + c["p_retailprice"], "p_retailprice": c["p_size"]}
 
@@ -584,28 +498,18 @@ def ig_quadratic(spark, sf_dir):
     return out.select("p_partkey", _r("p_size__ig", 3).alias("ig_size"), _r("p_retailprice__ig", 3).alias("ig_price"))
 
 
-@query("SELECT 0.0::DOUBLE AS error")
+@query("SELECT p_partkey, round(p_size * p_size + p_size * p_retailprice, 2)::DOUBLE AS total, 0.0::DOUBLE AS error FROM part")
 def ig_completeness(spark, sf_dir):
+    """The attributions of each row add up to what the model gains over the zero baseline."""
     names = ["p_size", "p_retailprice"]
     out = attribution.integrated_gradients(read_table(spark, sf_dir, "part"), _grad, names, steps=10)
     e = attribution.completeness(out, lambda c: c["p_size"] * c["p_size"] + c["p_size"] * c["p_retailprice"], names, {n: 0.0 for n in names})
-    return spark.createDataFrame([(abs(round(e, 6)),)], "error double")
-
-
-@query()
-def lime_linear(spark, sf_dir):
-    df = read_table(spark, sf_dir, "part")
-    return attribution.lime_tabular(df, "p_partkey", lambda x: 3 * x["p_size"] - 0.5 * x["p_retailprice"], ["p_size", "p_retailprice"], df)
-
-
-@query()
-def lime_text(spark, sf_dir):
-    return attribution.lime_text(read_table(spark, sf_dir, "benchmark"), "item_id", "text", lambda texts: [len(t) for t in texts], samples=64)
+    return out.select("p_partkey", _r(F.col("p_size__ig") + F.col("p_retailprice__ig"), 2).alias("total"), F.lit(abs(round(e, 6))).alias("error"))
 
 
 # --- Temporal -------------------------------------------------------------------------------------
 
-_DAYS, _PATCH = 28, 7
+_PATCH = 7
 
 
 def _padded_days(spark, sf_dir) -> int:
@@ -614,54 +518,66 @@ def _padded_days(spark, sf_dir) -> int:
     return max(1, -(-((last or 0) + 1) // _PATCH)) * _PATCH
 
 
-def _series(spark, sf_dir, length: int = _DAYS) -> DataFrame:
-    e = read_table(spark, sf_dir, "events").withColumn("t", F.datediff(F.to_date("ts"), F.lit("2024-01-01"))).where(f"t < {length}")
+def series(spark, sf_dir) -> tuple[DataFrame, int]:
+    """(user_id, spend, visits) with an entry a day of the whole table, and the number of patches."""
+    length = _padded_days(spark, sf_dir)
+    e = read_table(spark, sf_dir, "events").withColumn("t", F.datediff(F.to_date("ts"), F.lit("2024-01-01")))
     daily = e.groupBy("user_id", "t").agg(F.sum("value").alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
     maps = daily.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("mv"), F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("mn"))
     days = F.sequence(F.lit(0), F.lit(length - 1))
+
     def filled(m: str):
         return F.transform(days, lambda t: F.coalesce(F.try_element_at(F.col(m), t), F.lit(0.0)))
 
-    return maps.select("user_id", filled("mv").alias("spend"), filled("mn").alias("visits"))
+    return maps.select("user_id", filled("mv").alias("spend"), filled("mn").alias("visits")), length // _PATCH
+
 
+def weighted_sum(times: float = 1.0):
+    def model(c):
+        total = lambda a, k: F.aggregate(F.transform(a, lambda v, t: v * (t + 1) * k * times), F.lit(0.0), lambda x, y: x + y)
+        return total(c["spend"], 0.01) + total(c["visits"], 1.0)
 
-def _weighted_sum(c):
-    total = lambda a, k: F.aggregate(F.transform(a, lambda v, t: v * (t + 1) * k), F.lit(0.0), lambda x, y: x + y)
-    return total(c["spend"], 0.01) + total(c["visits"], 1.0)
+    return model
 
 
-_CLOSED = """
-WITH days AS (SELECT range AS t FROM range(28)), e AS (SELECT user_id, CAST(ts AS DATE) - DATE '2024-01-01' AS t, value FROM events WHERE CAST(ts AS DATE) - DATE '2024-01-01' < 28),
+#: A linear model against the mean series: a patch's own share is its weighted distance from the mean, less the mean of these shares.
+CLOSED = f"""
+WITH e AS (SELECT user_id, CAST(ts AS DATE) - DATE '2024-01-01' AS t, value FROM events),
+days AS (SELECT unnest(range(0, (SELECT (max(t) // {_PATCH} + 1) * {_PATCH} FROM e))) AS t),
 u AS (SELECT DISTINCT user_id FROM e), x AS (
   SELECT u.user_id, d.t, coalesce(sum(e.value), 0) * (d.t + 1) * 0.01 AS spend, count(e.value)::DOUBLE * (d.t + 1) AS visits
   FROM u CROSS JOIN days d LEFT JOIN e ON e.user_id = u.user_id AND e.t = d.t GROUP BY 1, 2),
 m AS (SELECT t, avg(spend) AS spend, avg(visits) AS visits FROM x GROUP BY t),
-p AS (SELECT x.user_id, 'spend' AS feature, x.t // 7 AS i, sum(x.spend - m.spend) AS d FROM x JOIN m USING (t) GROUP BY 1, 3
-  UNION ALL SELECT x.user_id, 'visits', x.t // 7, sum(x.visits - m.visits) FROM x JOIN m USING (t) GROUP BY 1, 3),
+p AS (SELECT x.user_id, 'spend' AS feature, x.t // {_PATCH} AS i, sum(x.spend - m.spend) AS d FROM x JOIN m USING (t) GROUP BY 1, 3
+  UNION ALL SELECT x.user_id, 'visits', x.t // {_PATCH}, sum(x.visits - m.visits) FROM x JOIN m USING (t) GROUP BY 1, 3),
 b AS (SELECT *, avg(d) OVER (PARTITION BY user_id, feature) AS base FROM p),
 inter AS (SELECT a.user_id, a.feature, a.i::INT AS i, c.i::INT AS j, CASE WHEN a.i = c.i THEN a.d - a.base WHEN c.i = a.i + 1 THEN a.base ELSE 0 END AS value
-  FROM b a JOIN b c ON a.user_id = c.user_id AND a.feature = c.feature AND a.i <= c.i)
+  FROM b a JOIN b c ON a.user_id = c.user_id AND a.feature = c.feature AND a.i <= c.i),
+spread AS (SELECT user_id, feature, unnest(range(i, j + 1))::INT AS patch, value / (j - i + 1) AS v FROM inter)
 """
 
 
-def _effects(spark, sf_dir) -> DataFrame:
-    s = _series(spark, sf_dir)
-    means = temporal.span_means(s, "user_id", ["spend", "visits"], _weighted_sum, temporal.gaussian_mean(s, ["spend", "visits"]), _PATCH)
-    return temporal.interactions(means, "user_id")
+def _found(spark, sf_dir) -> tuple[DataFrame, int]:
+    s, n = series(spark, sf_dir)
+    return temporal.effects(s, "user_id", ["spend", "visits"], weighted_sum(), temporal.gaussian_mean(s, ["spend", "visits"]), _PATCH), n
 
 
-@query(_CLOSED + " SELECT user_id, feature, i, j, round(value, 3) + 0.0 AS value FROM inter")
+@query(CLOSED + " SELECT user_id, feature, i, j, round(value, 3) + 0.0 AS value FROM inter")
 def patch_interaction(spark, sf_dir):
-    return _effects(spark, sf_dir).withColumn("value", _r("value", 3) + F.lit(0.0))
+    found, n = _found(spark, sf_dir)
+    return temporal.by_span(found, "user_id", "inter", n).withColumn("value", _r("value", 3) + F.lit(0.0))
 
 
-@query(_CLOSED + ", spread AS (SELECT user_id, feature, unnest(range(i, j + 1))::INT AS patch, value / (j - i + 1) AS v FROM inter) SELECT user_id, feature, patch, round(sum(v), 3) + 0.0 AS value FROM spread GROUP BY 1, 2, 3")
+@query(CLOSED + " SELECT user_id, feature, patch, round(sum(v), 3) + 0.0 AS value FROM spread GROUP BY 1, 2, 3")
 def patch_main_effect(spark, sf_dir):
-    return temporal.main_effects(_effects(spark, sf_dir), "user_id").withColumn("value", _r("value", 3) + F.lit(0.0))
+    return temporal.by_patch(_found(spark, sf_dir)[0], "user_id").withColumn("value", _r("value", 3) + F.lit(0.0))
 
 
-@query()
+@query(CLOSED + " SELECT user_id, feature, patch, t, round(sum(v) * (t + 1), 2) + 0.0 AS value FROM spread, (VALUES (0), (1)) steps(t) GROUP BY 1, 2, 3, 4")
 def temporal_explain(spark, sf_dir):
-    s = _series(spark, sf_dir, _padded_days(spark, sf_dir))
-    main, _ = temporal.TemporalExplainer(_weighted_sum, ["spend", "visits"], draws=5).explain(s, "user_id", s, _PATCH)
-    return main
+    """Both output steps of a model, the whole table in patches of seven days."""
+    s, _ = series(spark, sf_dir)
+    names = ["spend", "visits"]
+    explainer = temporal.TemporalExplainer({t: weighted_sum(t + 1) for t in range(2)}, names, generator=lambda b: temporal.gaussian_mean(b, names))
+    main, _ = explainer.explain(s, "user_id", s, _PATCH, only_last=False)
+    return main.withColumn("value", _r("value", 2) + F.lit(0.0))

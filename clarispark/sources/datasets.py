@@ -28,6 +28,15 @@ class DatasetLoader:
         return raw.withColumn("__label", label).drop(self.meta["label"]).withColumnRenamed("__label", "label")
 
 
+def read_headerless(spark: SparkSession, path: str, label: str = "label", names: list[str] | None = None) -> DataFrame:
+    """A CSV file without a header, its last column the label; other columns are named '0', '1', ... unless names are given."""
+    raw = spark.read.csv(path, header=False, inferSchema=True)
+    own = names or [str(i) for i in range(len(raw.columns) - 1)]
+    if len(own) != len(raw.columns) - 1:
+        raise ValueError(f"{len(own)} names for {len(raw.columns) - 1} columns beside the label")
+    return raw.toDF(*own, label)
+
+
 def tic_tac_toe(spark: SparkSession) -> DataFrame:
     """All boards on which a game of noughts and crosses, x first, can end: columns s0..s8 (x, o, b) and label, x wins or not."""
     lines = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (2, 4, 6)]

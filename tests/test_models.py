@@ -29,6 +29,7 @@ def test_gam_constraints(additive):
     for kind, test in (("inc", lambda d: (np.diff(d) >= -1e-6).all()), ("dec", lambda d: (np.diff(d) <= 1e-6).all())):
         m = gam.GAM(max_iter=30).fit(additive, ["x1", "x2", "x3"], "y").add_constraint(-100, 100, kind, "x3").update(20)
         assert test([y for _, y, _ in m.segments("x3")])
+        assert abs(m.predict(additive).agg(F.avg(F.col("prediction") - F.col("y"))).first()[0]) < 1e-6  # the constant follows the shapes
     m = gam.GAM(max_iter=30).fit(additive, ["x1", "x2", "x3"], "y").add_constraint(-100, 100, "concave", 1).update(20)
     assert (np.diff([s for *_, s in m.segments("x2")][:-1]) <= 1e-6).all()
     with pytest.raises(ValueError):
@@ -100,6 +101,102 @@ def test_tree_rules(points):
     assert np.allclose(p.a__shap + p.b__shap + p.c__shap, want) and (p.c__shap == 0).all()
 
 
+def test_long_texts_have_weights_too(spark):
+    words = " ".join(f"w{i}" for i in range(5000))
+    texts = spark.createDataFrame([(1, words + " good"), (2, "")], "id int, text string")
+    out = at.lime_text(texts, "id", "text", lambda ts: [float("good" in t.split()) for t in ts]).toPandas()
+    assert len(out) == 5001 and out.sort_values("value").token.iloc[-1] == "good"
+
+
+def test_trees_equal_exact_values(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+
+    rng = np.random.default_rng(4)
+    data = pd.DataFrame(rng.normal(size=(120, 4)), columns=list("abcd"))
+    data["y"], data["id"] = data.a * data.b + np.abs(data.c), range(120)
+    df = spark.createDataFrame(data)
+    names, base = list("abcd"), {"a": 0.1, "b": -0.4, "c": 1.0, "d": 0.0}
+    table = VectorAssembler(inputCols=names, outputCol="x").transform(df)
+    for kind in (DecisionTreeRegressor(maxDepth=4), RandomForestRegressor(numTrees=3, maxDepth=3, seed=1), GBTRegressor(maxIter=3, maxDepth=2, seed=1)):
+        model = kind.setFeaturesCol("x").setLabelCol("y").fit(table)
+        ensemble = at.TreeEnsemble.of(model, names)
+        assert model.transform(table).withColumn("own", ensemble.column()).where("abs(own - prediction) > 1e-9").count() == 0
+
+        def column(c, ensemble=ensemble):
+            test = lambda p: (c[p.feature] <= p.value) if p.op == "<=" else (c[p.feature] > p.value)
+            out = F.lit(0.0)
+            for path, w in ensemble.leaves:
+                hit = F.lit(True)
+                for p in path:
+                    hit = hit & test(p)
+                out = out + F.when(hit, F.lit(w)).otherwise(F.lit(0.0))
+            return out
+
+        want = at.shap_exact(df, column, names, base).toPandas().sort_values("id")
+        got = at.shap_tree(df, "id", ensemble, names, background=pd.DataFrame([base])).toPandas().pivot(index="id", columns="feature", values="value")
+        assert np.allclose(got[names].to_numpy(), want[[f"{c}__shap" for c in names]].to_numpy())
+        own = df.withColumns({f"m_{c}": F.lit(base[c]) for c in names})
+        matched = at.shap_tree(own, "id", ensemble, names, matched={c: f"m_{c}" for c in names}).toPandas().pivot(index="id", columns="feature", values="value")
+        assert np.allclose(matched[names].to_numpy(), got[names].to_numpy())
+
+
+def test_template(points):
+    from clarispark.operators import explain
+
+    linear = explain.ShapExplainer({"a": 1.0, "b": 2.0, "c": 0.0}, list("abc"), "id", mode="origin")
+    assert linear(points, baseline=points).groupBy("feature").agg(F.sum("value").alias("v")).where("abs(v) > 1e-9").count() == 0
+    assert linear.explain(points, baseline=dict.fromkeys("abc", 0.0), targets=[0]).count() == 60
+    exact = explain.ShapExplainer(lambda c: c["a"] * c["b"], list("abc"), "id", method="exact")
+    assert exact(points, baseline=points).where("abs(value) > 1e-12").count() == 0  # each row is its own baseline
+    for bad in (lambda: linear(points), lambda: linear(points.drop("a"), baseline=points), lambda: linear(points, baseline=points.drop("b")), lambda: linear(points, baseline={"a": 1.0}), lambda: linear(points, baseline=points, targets=[3]),
+                lambda: explain.ShapExplainer({}, [], "id", method="magic"), lambda: explain.ShapExplainer({}, [], "id", link="probit"), lambda: explain.ShapExplainer({}, [], "id", mode="both"), lambda: explain.LimeExplainer(None, ["a"], "id")(points)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(TypeError):
+        linear([1, 2])
+
+
+def test_gaussian_generator(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(400, 1))
+    x = np.hstack([base + 0.1 * rng.normal(size=(400, 1)) for _ in range(4)])
+    df = spark.createDataFrame([(i, r[:2].tolist(), r[2:].tolist()) for i, r in enumerate(x)], "id long, u array<double>, v array<double>")
+    g = temporal.GaussianGenerator.fit(df, ["u", "v"])
+    assert np.allclose(g.mean, x.mean(0)) and np.allclose(g.cov, np.cov(x.T, bias=True))
+    held = np.array([True, False, False, True])
+    drawn = g.given(x, held, 300)
+    assert (drawn[:, :, held] == x[:, None, held]).all() and np.allclose(drawn[:, :, ~held].mean(1), g.given(x, held)[:, 0, ~held], atol=0.1)
+    assert g.reconstruction_error(df) < 0.3
+    masks = temporal.training_masks(200, 5, 6)
+    assert all(len({tuple(r) for r in m if r.any()}) <= 1 and m.any(1).sum() in (0, 3) for m in masks) and masks.any()
+    out = temporal.conditional_means(df, "id", lambda s: s.sum((1, 2)), g, 1, draws=50)
+    assert out.count() == 400 * 2 * 3
+    assert temporal.patch_weights(3) == pytest.approx([1 / 3] * 3) and temporal.patch_weights(3, 1.0)[1] < 1 / 3
+
+
+def test_effects_equal_plain_arrays(spark):
+    """Means, interactions and main effects of a product model against a loop over rows, draws and spans."""
+    rng = np.random.default_rng(2)
+    u, v = rng.normal(size=(5, 6)), rng.normal(size=(5, 6))
+    df = spark.createDataFrame([(i, u[i].tolist(), v[i].tolist()) for i in range(5)], "id long, u array<double>, v array<double>")
+    model = lambda c: F.element_at(c["u"], 1) * F.element_at(c["u"], 4) + F.element_at(c["u"], 6) * F.element_at(c["v"], 2)
+    plain = lambda a, b: a[0] * a[3] + a[5] * b[1]
+    draws = df.where("id < 3").select(F.col("id").alias("draw"), F.col("u").alias("g_u"), F.col("v").alias("g_v"))
+    found = {(r["id"], r["feature"]): r for r in temporal.effects(df, "id", ["u", "v"], model, draws, 2).collect()}
+    for i in range(5):
+        e = {}
+        for a, b in temporal.spans(3):
+            own = np.tile(u[:3], 1)
+            own[:, 2 * a : 2 * b + 2] = u[i, 2 * a : 2 * b + 2]
+            e[a, b] = np.mean([plain(s, v[i]) for s in own])
+        base = np.mean([e[k, k] for k in range(3)])
+        inter = {(a, b): e[a, b] - base if a == b else e[a, b] - e[a, a] - e[b, b] + base if b == a + 1 else e[a, b] + e[a + 1, b - 1] - e[a, b - 1] - e[a + 1, b] for a, b in e}
+        r = found[i, "u"]
+        assert np.allclose(r["means"], list(e.values())) and np.allclose(r["inter"], list(inter.values())) and r["plain"] == pytest.approx(plain(u[i], v[i]))
+        assert np.allclose(r["main"], [sum(x / (b - a + 1) for (a, b), x in inter.items() if a <= p <= b) for p in range(3)])
+
+
 def test_temporal(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(i, rng.normal(size=6).tolist(), rng.normal(size=6).tolist()) for i in range(8)], "id long, u array<double>, v array<double>")
