@@ -7,11 +7,14 @@ must see that folder, so a lost executor costs a re-read and nothing else.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR = "/tmp/checkpoints/clarispark"
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +42,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end: for steps whose result is written by then to a table of its own."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        release(*_SCRATCH.pop())
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes tables that ``materialize`` wrote and that no plan still reads."""
     for df in frames:
