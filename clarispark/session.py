@@ -35,14 +35,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and returns a scan of what was written."""
+def materialize(df: DataFrame, name: str = "table", kept: bool = False) -> DataFrame:
+    """Writes df to the shared folder and returns a scan of what was written; kept: beyond the scratch around it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized_path = path
-    if _SCRATCH:
+    if _SCRATCH and not kept:
         _SCRATCH[-1].append(out)
     return out
 
