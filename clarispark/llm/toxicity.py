@@ -3,20 +3,26 @@
 The kernel of two words compares their subsequences of three characters, gaps allowed: an
 occurrence that spans s characters counts GAP**s, up to SPAN characters, so an inserted
 character costs weight and doesn't hide the word.  Word boundaries are characters too.  The
-machine is trained on sentences of labelled documents: all words of a clean document's
-sentences are negative; a toxic document has a sentence, and in it a word, that is positive,
-and which one is settled by evidence first and by the machine itself after (multiple-instance
-training).  Features are kernels with landmark words, whitened (Nyström); as the machine is
-linear in them, its weights fold into one weight for each subsequence, and scoring a word is a
-sum over its own subsequences.  A sentence scores as its worst word, and a document as its
-worst sentence, over the whole text.  Letters set apart by spaces are joined and scored too.
+machine is trained on labelled sentences.  A sentence stands for its worst word (its witness): every
+sentence of a clean document is a negative example, and the sentences of toxic documents that hold
+evidence are positive ones.  Evidence begins with runs of characters that only toxic documents
+share, and grows by what the machine is sure of; witnesses are chosen anew in each round, over all
+sentences of the sample, and those of earlier rounds stay examples (multiple-instance training).
+Features are kernels with landmark words, whitened (Nyström); as the machine is linear in them, its
+weights fold into one weight for each subsequence, and scoring a word is a sum over its own
+subsequences.  A sentence scores as its worst word, and a document as its worst sentence, over the
+whole text.  Letters set apart by spaces are joined and scored too.
 
 A fit takes at most ``per_class`` labelled documents of each class, none of them held out, and
-of these only texts of at most ``max_chars`` characters; scoring reads every whole text.
+of these only texts of at most ``max_chars`` characters; scoring reads every whole text.  The first
+round's negative examples are the clean words of FIRST_WORDS ranks by frequency and as many more
+spread evenly over the rest; all others become examples when they are a sentence's witness.
 
 Edge cases: null and empty texts have no word and get the score of the lowest margin; words
-longer than WIDTH are scored in overlapping windows; without labels of both classes every
-score is 0; repeated rows get equal scores; other columns of the input are ignored.
+longer than WIDTH are scored in overlapping windows, so texts without spaces are read whole; equal
+margins share a score; without labels of both classes every score is 0; a document with two labels
+counts as toxic if either says so; repeated rows get equal scores; an empty table gives an empty
+result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarispark.llm.common import arrow_map, batch_of, forget_tables, held_out, labelled_sample
+from clarispark.llm.common import arrow_map, batch_of, forget_tables, held_out, labelled_sample, slices
 
 ORDER, GAP, SPAN, WIDTH = 3, 0.7, 6, 24
-PER_CLASS, MAX_CHARS, LANDMARKS, SENTENCE_WORDS = 3000, 20_000, 256, 60_000
+PER_CLASS, MAX_CHARS, LANDMARKS, FIRST_WORDS, ROUNDS = 3000, 20_000, 256, 4000, 4
 THRESHOLD = 0.3
 #: Margins up to this are upper bounds; documents are toxic far above it.
 NEAR = -0.6
@@ -55,7 +61,7 @@ _WEIGHTS = (GAP ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1)).astype(np.float32)
 def words_of(text: str) -> list[str]:
     """The text's words in lower case, without the punctuation around them; letters set apart are a word too."""
     low = text.lower()
-    words = [w for x in set(low.split()) if (w := x.strip(_EDGES))]
+    words = [w for x in sorted(set(low.split())) if (w := x.strip(_EDGES))]
     if _APART.search(low):
         words += ["".join(m.split()) for m in _APART.findall(low)]
     return words
@@ -271,9 +277,32 @@ def _evidence(toxic: list, clean: list, seen_clean: Counter) -> set[str]:
     return {w for words in fresh for w in words if not top.isdisjoint(runs(w))}
 
 
+class Sentences:
+    """Sentences as numbered words, to find the witness of each at once."""
+
+    def __init__(self, sentences: list[list[str]], leave: set[str]):
+        number: dict[str, int] = {}
+        flat: list[int] = []
+        starts: list[int] = []
+        for words in {tuple(sorted(set(x) - leave)) for x in sentences} - {()}:
+            starts.append(len(flat))
+            flat += [number.setdefault(w, len(number)) for w in words]
+        self.words, self.flat, self.starts = list(number), np.array(flat, np.int64), np.array(starts, np.int64)
+
+    def witnesses(self, margins: np.ndarray, least: float) -> list[str]:
+        """The worst words of the sentences whose margin is over ``least``, each once, the worst first."""
+        if not len(self.starts):
+            return []
+        own = margins[self.flat]
+        worst = np.maximum.reduceat(own, self.starts)
+        sizes = np.diff(np.append(self.starts, len(self.flat)))
+        found = np.unique(self.flat[(own == np.repeat(worst, sizes)) & (own > least)])
+        return [self.words[i] for i in sorted(found, key=lambda i: (-margins[i], self.words[i]))]
+
+
 def fit_sentences(docs: list[tuple[bool, list[list[str]]]], landmarks: int = LANDMARKS) -> Model:
     """docs: (toxic, sentences as lists of words).  Deterministic."""
-    docs = list({hashlib.sha256(repr(x).encode("utf-8", "surrogatepass")).digest(): x for x in docs}.values())
+    docs = list({hashlib.sha256(repr([sorted(s) for s in x[1]]).encode("utf-8", "surrogatepass") + bytes([x[0]])).digest(): x for x in docs}.values())
     toxic = [s for y, s in docs if y]
     clean = [s for y, s in docs if not y]
     if not toxic or not clean:
@@ -284,11 +313,15 @@ def fit_sentences(docs: list[tuple[bool, list[list[str]]]], landmarks: int = LAN
             seen.update({w for x in s for w in x})
     short = lambda w: len(w) <= WIDTH
     positive = _evidence(toxic, clean, seen_clean)
-    negative = [w for w, _ in sorted(seen_clean.items(), key=lambda x: (-x[1], x[0])) if short(w) and w not in positive]
-    hard = negative[: 2 * SENTENCE_WORDS // 30] + negative[:: max(1, len(negative) // 2000)]
+    negative = [w for w, _ in sorted(seen_clean.items(), key=lambda x: (-x[1], x[0])) if short(w)]
+    rest = negative[FIRST_WORDS:]
+    hard = negative[:FIRST_WORDS] + rest[:: max(1, len(rest) // FIRST_WORDS)]
+    sentences = Sentences([x for s in clean for x in s], {w for w in seen_clean if not short(w)})
+    unseen = sorted(w for w in seen_toxic if short(w) and not seen_clean[w])
     model = None
-    pool = negative if len(negative) <= SENTENCE_WORDS else negative[:: -(-len(negative) // SENTENCE_WORDS)]
-    for _ in range(4):
+    for _ in range(ROUNDS):
+        # Of each positive sentence the witness is its evidence; a word weighs as often as it is one.
+        witness = Counter(w for s in toxic for x in s for w in set(x) & positive)
         marks = sorted(positive, key=lambda w: (-seen_toxic[w], w))[: landmarks // 2]
         if len(positive) > landmarks // 4:  # the rarer words have landmarks too
             marks = sorted({*marks[: landmarks // 4], *sorted(positive)[:: -(-len(positive) // (landmarks // 4))]})
@@ -298,22 +331,23 @@ def fit_sentences(docs: list[tuple[bool, list[list[str]]]], landmarks: int = LAN
         values, vectors = np.linalg.eigh((dense @ dense.T).astype(float))
         good = values > 1e-6 * values[-1]
         white = vectors[:, good] / np.sqrt(values[good])
-        words = sorted(positive) + list(dict.fromkeys(hard))
-        y = np.where(np.arange(len(words)) < len(positive), 1.0, -1.0)
+        examples = sorted(positive)
+        words = examples + hard
+        y = np.where(np.arange(len(words)) < len(examples), 1.0, -1.0)
         x = np.hstack([_kernels(words, letters, used, dense) @ white, np.ones((len(words), 1))])
-        cost = np.where(y > 0, len(words) / (2 * max(1, len(positive))), len(words) / (2 * max(1, len(words) - len(positive)))) * 1.0
+        times = np.sqrt(np.array([witness[w] or 1 for w in examples], float))  # frequent evidence counts more, rare evidence isn't lost
+        cost = np.concatenate([times / times.sum(), np.full(len(hard), 1 / max(1, len(hard)))]) * len(words) / 2
         w = _svm(x, y, cost)
         weights = np.zeros(letters.size**ORDER, np.float32)
         weights[used] = (white @ w[:-1]) @ dense
         model = Model(letters.index, weights, float(w[-1]), 1.0, 0.0)
-        # Clean words that score high become examples, and so do words of toxic documents that the machine is sure of.
-        margins = model.margins(pool)
-        hard = list(dict.fromkeys([*hard, *[pool[i] for i in np.argsort(-margins)[:1500] if margins[i] > NEAR]]))
-        before = len(positive)
-        unseen = sorted(w for w in seen_toxic if short(w) and not seen_clean[w] and w not in positive)
-        positive |= {unseen[i] for i in np.flatnonzero(model.margins(unseen) > 0.6)}
-        hard = [w for w in hard if w not in positive]
-        if before == len(positive) and not (margins > NEAR).any():
+        # Sentences of clean documents choose their witnesses anew; words that the machine is sure of become evidence.
+        known = set(hard)
+        found = [v for v in sentences.witnesses(model.margins(sentences.words), NEAR) if v not in known]
+        sure = [unseen[i] for i in np.flatnonzero(model.margins(unseen) > 0.6) if unseen[i] not in positive]
+        hard += found
+        positive.update(sure)
+        if not found and not sure:
             break
     every = sorted({*seen_clean, *seen_toxic})
     known = dict(zip(every, model.margins(every).tolist(), strict=True))
@@ -363,18 +397,12 @@ class Scorer:
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
-
-
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_tables()
         scorer = Scorer(model)
-        for b in _slices(batches):
+        for b in slices(batches):
             s = scorer(b.column("text").to_pylist())
             yield batch_of(SCORES, [b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))])
 
@@ -387,7 +415,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_tables()
         scorer = Scorer(model)
-        for b in _slices(batches):
+        for b in slices(batches):
             yield b.filter(pa.array(scorer(b.column("text").to_pylist()) < threshold))
 
     return arrow_map(docs, run, docs.schema)
