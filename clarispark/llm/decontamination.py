@@ -12,8 +12,10 @@ documents are only read; beyond it, the seeds of documents and items are joined
 
 Edge cases: null and empty texts have no words and leak nothing; an item of fewer than
 MIN_MATCH words has one seed, all its words, and is leaked only when they occur in a row; items
-of equal texts are all reported; a null doc_id is kept, a null item_id too; repeated rows are
-reported each; without items or documents the result is empty; other columns are ignored.
+of equal texts are all reported; of equal matches the first in the item, then in the document, is
+marked; texts of any length are read whole; a null doc_id is kept, a null item_id too; repeated rows
+are reported each, and decided one by one; without items or documents the result is empty; other
+columns, whatever their names, are ignored by ``find_leaks`` and pass through ``reject_leaked``.
 """
 
 from __future__ import annotations

@@ -218,6 +218,34 @@ def test_held_out_accuracy(spark, labelled, module, label):
     assert module.score(docs, none).count() == 600
 
 
+def test_pairwise_fit_equals_plain_descent():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, len(quality.FEATURES)))
+    y = (x[:, 0] - x[:, 3] + rng.normal(size=120) > 0).astype(int)
+    model = quality.fit_pairs(x, y, pairs=400, l2=1e-2)
+    again = np.random.default_rng(0)  # the same pairs, in plain loops
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -8, 8)
+    pairs = list(zip(again.choice(good, 400), again.choice(bad, 400), strict=True))
+    w = np.zeros(x.shape[1])
+    for _ in range(3000):
+        grad = 1e-2 * w
+        for d in (np.array([z[i] - z[j] for i, j in pairs]),):
+            grad = grad - (d / (1 + np.exp(d @ w))[:, None]).mean(0)
+        w = w - 0.5 * grad
+    assert np.allclose(model.weights, w, atol=1e-3)
+    raw = model.raw(x)
+    assert abs((raw < model.cut).mean() - (y == 0).mean()) < 0.01 and np.allclose(model.score(x) >= model.threshold, raw >= model.cut)
+
+
+def test_leaks_in_very_long_texts(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, "filler " * 200_000 + passage + " tail" * 50_000), (2, "filler " * 100_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    for bound in (decontamination.BROADCAST_SEEDS, 0):
+        assert [(r["doc_id"], r["coverage"]) for r in decontamination.find_leaks(docs, items, broadcast_seeds=bound).collect()] == [(1, 1.0)]
+
+
 def test_samples_leave_held_out_rows(spark, labelled):
     docs, labels = labelled
     got = labelled_sample(spark, docs, labels, "toxic", 50).collect()
