@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MISSING, OTHER = "unknown<", "other<"
+#: Values that a folded column may keep; more raise an error, as they travel with every plan that folds.
+MAX_KEPT = 20_000
 
 
 def default_label(df: DataFrame, label: str):
@@ -76,9 +78,11 @@ def fill_missing(df: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def rare_values(df: DataFrame, dims: list[str], least: int, many: int = 10) -> dict[str, list[str]]:
-    """For columns with more than ``many`` values below ``least`` rows: the values that stay."""
+    """For columns with more than ``many`` values below ``least`` rows: the values that stay, at most MAX_KEPT a column."""
     counts = value_counts(df, dims)
-    rare = counts.groupBy("dim").agg(F.sum((F.col("cnt") < least).cast("int")).alias("rare")).where(F.col("rare") > many)
+    rare = counts.groupBy("dim").agg(F.sum((F.col("cnt") < least).cast("int")).alias("rare"), F.sum((F.col("cnt") >= least).cast("int")).alias("stay")).where(F.col("rare") > many)
+    if wide := [r["dim"] for r in rare.where(F.col("stay") > MAX_KEPT).collect()]:
+        raise ValueError(f"columns {wide} keep over {MAX_KEPT} values; raise the count below which a value is rare")
     kept = counts.join(rare, "dim", "left_semi").where(F.col("cnt") >= least).groupBy("dim").agg(F.sort_array(F.collect_list("val")).alias("vals"))
     out = {r["dim"]: [] for r in rare.collect()}
     return out | {r["dim"]: r["vals"] for r in kept.collect()}
