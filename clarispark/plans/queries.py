@@ -207,9 +207,22 @@ def filter_by_pattern(spark, sf_dir):
     return df.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'positive' AS label, 626::BIGINT AS n UNION ALL SELECT 'negative', 332")
+_BOARD_LINES = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (2, 4, 6)]
+
+
+def _won(p: str) -> str:
+    return "(" + " OR ".join(f"s{i} = '{p}' AND s{j} = '{p}' AND s{k} = '{p}'" for i, j, k in _BOARD_LINES) + ")"
+
+
+_MARKS = " + ".join("(s{} = '{{0}}')::INT".format(i) for i in range(9))
+
+
+@query(f"""WITH b AS (SELECT {", ".join(f"substr('bxo', (range // {3 ** i} % 3 + 1)::INT, 1) AS s{i}" for i in range(9))} FROM range({3 ** 9})),
+n AS (SELECT *, {_MARKS.format("x")} AS nx, {_MARKS.format("o")} AS no, {_won("x")} AS wx, {_won("o")} AS wo FROM b)
+SELECT {", ".join(f"s{i}" for i in range(9))}, CASE WHEN wx THEN 'positive' ELSE 'negative' END AS label FROM n
+WHERE (wx AND NOT wo AND nx = no + 1) OR (wo AND NOT wx AND nx = no) OR (NOT wx AND NOT wo AND nx = 5 AND no = 4)""")
 def tic_tac_toe_boards(spark, sf_dir):
-    return tic_tac_toe(spark).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return tic_tac_toe(spark)
 
 
 # --- Mining ---------------------------------------------------------------------------------------
