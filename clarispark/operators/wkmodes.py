@@ -50,15 +50,16 @@ class WKModes:
     def _initial(self, df: DataFrame, columns: list[str]) -> np.ndarray:
         """huang: columns drawn by their frequencies, moved to the nearest row pattern; random: patterns; cao: dense and far apart.
 
-        All choose among the most frequent row patterns, at most 1000 of them.
+        The columns' shares are of all rows; all choose among the most frequent row patterns, at most 1000 of them.
         """
         rows = df.groupBy(*columns).count().orderBy(F.desc("count"), *columns).limit(1000).collect()
         patterns = np.array([[float(r[c] or 0) for c in columns] for r in rows]).reshape(len(rows), len(columns))
         weight = np.array([r["count"] for r in rows], float)
         k, rng = min(self.n_clusters, len(patterns)), np.random.default_rng(self.seed)
         chosen: list[int] = []
-        share = (weight @ patterns) / max(weight.sum(), 1)
-        density = weight / max(weight.sum(), 1) + (patterns * share + (1 - patterns) * (1 - share)).mean(1)
+        means = df.agg(F.count(F.lit(1)), *[F.avg(f"`{c}`") for c in columns]).first()
+        share = np.array([float(x or 0) for x in means[1:]])
+        density = weight / max(means[0], 1) + (patterns * share + (1 - patterns) * (1 - share)).mean(1)
         for _ in range(k):
             if self.init == "random":
                 score = rng.random(len(patterns))
