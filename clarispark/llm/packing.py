@@ -41,7 +41,7 @@ from clarispark.session import materialize, release
 CAPACITY, END_ID = 2048, 0
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 4, 4
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 # --- Documents to pieces --------------------------------------------------------------------------
 
@@ -405,7 +405,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     release(by_task)
     ranked = cut.join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     block = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("ranks") - 1) / BLOCK)))
-    met = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(slots.withColumn("block", block), ["length", "block"])
+    met = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(slots.withColumn("block", block).hint("merge"), ["length", "block"])  # slots grow with the corpus up to their bound
     held = met.where("rank >= first AND rank < first + ranks").withColumn("rank", F.col("rank") - F.col("first"))
     sequence, offset = F.col("base") + F.floor(F.col("rank") / F.col("each")), F.col("place") + F.col("rank") % F.col("each") * F.col("length")
     return held.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
