@@ -82,6 +82,15 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def usable_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, __label): a row for each doc_id that is not held out and has a label; 1 if any of several labels is."""
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+        .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__label"))
+        .where(~held_out())
+    )
+
+
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` rows of each class that are not held out.
 
@@ -89,11 +98,7 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
     partitioning.  A doc_id with several labels counts as 1 if any of them is 1; null ids and
     null labels are left out.  The sampled ids are bounded by 2 x per_class and are broadcast.
     """
-    one = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__label"))
-        .where(~held_out())
-    )
+    one = usable_labels(labels, label)
     picked = None
     for value in (0, 1):
         part = one.where(F.col("__label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
