@@ -7,7 +7,8 @@ XXH64 of its UTF-8 bytes with seed 42; a bit is 1 if set in over half the h.  No
 Linking: distinct fingerprints only, so exact copies never meet.  Two tries hold the bits in
 two orders (halves swapped).  Of two fingerprints within 4 bits, one half differs in at most 2,
 so it is enough to traverse pairs of nodes whose first 32 levels differ in 2 bits at most and
-whose 64 levels differ in 4 at most.  The upper levels of a trie are dealt over tasks: a task
+whose 64 levels differ in 4 at most.  ``links`` takes other budgets of bits too, and as many tries as
+the bits have parts, each of which begins with a part of its own.  The upper levels of a trie are dealt over tasks: a task
 owns a node of depth d and meets the nodes of that depth that differ in at most 2 bits; below,
 the task walks node pairs level by level, adds up differing bits, and prunes beyond the budget.
 A task returns a spanning forest of the links it finds, never all pairs of a dense group; nodes
@@ -21,6 +22,7 @@ table gives an empty result; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -35,8 +37,7 @@ from clarispark.llm.common import arrow_map, batch_of, numbered, slices
 from clarispark.llm.graph import connected_components
 from clarispark.session import materialize, release
 
-SHINGLE, SEED, MAX_BITS = 4, 42, 4
-HALF_BUDGET = MAX_BITS // 2
+SHINGLE, SEED, MAX_BITS, PARTS = 4, 42, 4, 2
 #: Upper levels dealt over tasks: as many as leave about LEAF fingerprints to a node.
 LEAF, LEAST_DEPTH, MOST_DEPTH = 1 << 15, 4, 16
 #: Fingerprints in a block of a node that is split.
@@ -49,6 +50,14 @@ ROW = ("__sh_f", "__sh_r")
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ROW), ("fp", pa.int64())])
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if set in over half of them; zero of none."""
+    n, ones = len(h), np.zeros(64, np.int64)
+    for at in range(0, n, 65536):  # bounds the unpacked bits of a very long text
+        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes) -> int:
     words = text.lower().split()  # on bytes: A-Z only; the six ASCII white-space characters
     if not words:
@@ -59,11 +68,7 @@ def fingerprint(text: bytes) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64)
-    n, ones = len(h), np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounds the unpacked bits of a very long text
-        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,19 +88,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(rows_of(docs), _fingerprints, f"doc_id long, {ROW[0]} long, {ROW[1]} long, fp long")
 
 
-def near_nodes(depth: int) -> list[int]:
-    """Differences of two nodes of that depth that the budget of the first half allows."""
-    top = min(depth, 32)
-    out = [0]
-    for i in range(top):
-        out.append(1 << i)
-        out += [(1 << i) | (1 << j) for j in range(i)]
-    assert HALF_BUDGET == 2 and depth <= 32
-    return sorted(out)
+def near_nodes(depth: int, budget: int) -> list[int]:
+    """Differences of two nodes of that depth, within the first part of a trie, that the part's budget allows."""
+    return sorted(sum(1 << i for i in at) for n in range(budget + 1) for at in itertools.combinations(range(depth), n))
 
 
-def _turned(fp: np.ndarray, trie: int) -> np.ndarray:
-    return fp if trie == 0 else (fp << np.uint64(32)) | (fp >> np.uint64(32))
+def _turned(fp: np.ndarray, by: int) -> np.ndarray:
+    return fp if by % 64 == 0 else (fp << np.uint64(by)) | (fp >> np.uint64(64 - by))
 
 
 DEALT = pa.schema([("node", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("kind", pa.int32()), ("fp", pa.int64())])
@@ -109,14 +108,14 @@ def _repeat(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _dealt(trie: int, depth: int, blocks: dict[int, int]):
+def _dealt(turn: int, depth: int, budget: int, blocks: dict[int, int]):
     """Deals each fingerprint to its own node, and as a guest to those nodes before it that the budget allows.
 
     ``blocks`` has the number of blocks of each node that is split.  A task is (node, i, j): block
     i at home with j = i (and guests of nodes that aren't split), blocks i < j of the node, or,
     with j < 0, block i at home with one block of guests from a node that is split.
     """
-    near = np.array(near_nodes(depth), np.int64)
+    near = np.array(near_nodes(depth, budget), np.int64)
     tables: dict[tuple[int, int], int] = {}  # (host, guests' node): the number of that node's first block among the host's guests
     visits: dict[int, int] = {}
     for node in sorted(blocks):
@@ -133,7 +132,7 @@ def _dealt(trie: int, depth: int, blocks: dict[int, int]):
         for whole in batches:
             for at in range(0, whole.num_rows, 8192):
                 raw = whole.slice(at, 8192).column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                fp = _turned(raw, trie)
+                fp = _turned(raw, turn)
                 node = (fp >> np.uint64(64 - depth)).astype(np.int64)
                 own = of(node, blocks, 1)
                 block = ((raw * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % own
@@ -189,7 +188,7 @@ class Forest:
         return r
 
 
-def _walk(a: np.ndarray, b: np.ndarray | None, depth: int):
+def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, bits: int, parts: int):
     """Yields arrays (i, j) of linked positions of a and b (None: a with itself), both sorted and unique.
 
     The stack holds blocks of node pairs as rows of (a from, a to, b from, b to, differing bits)
@@ -205,9 +204,9 @@ def _walk(a: np.ndarray, b: np.ndarray | None, depth: int):
         nodes_b, at_b = np.unique(b >> np.uint64(64 - depth), return_index=True)
         ea, eb = np.append(at_a[1:], len(a)), np.append(at_b[1:], len(b))
         x, y = (v.ravel() for v in np.meshgrid(np.arange(len(nodes_a)), np.arange(len(nodes_b)), indexing="ij"))
-        bits = np.bitwise_count(nodes_a[x] ^ nodes_b[y]).astype(np.int64)
-        ok = bits <= HALF_BUDGET
-        first = np.stack([at_a[x], ea[x], at_b[y], eb[y], bits], 1)[ok]
+        apart = np.bitwise_count(nodes_a[x] ^ nodes_b[y]).astype(np.int64)
+        ok = apart <= bits // parts
+        first = np.stack([at_a[x], ea[x], at_b[y], eb[y], apart], 1)[ok]
     stack = [(depth, first)]
     while stack:
         level, pairs = stack.pop()
@@ -217,17 +216,17 @@ def _walk(a: np.ndarray, b: np.ndarray | None, depth: int):
         na, nb = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
         small = (na * nb <= DIRECT) | (level == 64)
         if small.any():
-            yield from _compare(a, b, pairs[small], itself)
+            yield from _compare(a, b, pairs[small], itself, bits)
         pairs = pairs[~small]
         if not len(pairs):
             continue
         # One level down: each range splits where its next bit turns to 1.
         mid_a, mid_b = _split(a, pairs[:, 0], pairs[:, 1], level), _split(b, pairs[:, 2], pairs[:, 3], level)
-        lo_a, hi_a, lo_b, hi_b, bits = pairs.T
+        lo_a, hi_a, lo_b, hi_b, apart = pairs.T
         kids = np.concatenate([
-            np.stack(k, 1) for k in ((lo_a, mid_a, lo_b, mid_b, bits), (mid_a, hi_a, mid_b, hi_b, bits), (lo_a, mid_a, mid_b, hi_b, bits + 1), (mid_a, hi_a, lo_b, mid_b, bits + 1))
+            np.stack(k, 1) for k in ((lo_a, mid_a, lo_b, mid_b, apart), (mid_a, hi_a, mid_b, hi_b, apart), (lo_a, mid_a, mid_b, hi_b, apart + 1), (mid_a, hi_a, lo_b, mid_b, apart + 1))
         ])
-        budget = HALF_BUDGET if level + 1 <= 32 else MAX_BITS
+        budget = bits // parts if level + 1 <= 64 // parts else bits
         keep = (kids[:, 0] < kids[:, 1]) & (kids[:, 2] < kids[:, 3]) & (kids[:, 4] <= budget)
         if itself:
             keep &= kids[:, 0] <= kids[:, 2]
@@ -241,7 +240,7 @@ def _split(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndar
     return np.clip(np.searchsorted(v, base | bit), lo, hi)
 
 
-def _compare(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, itself: bool):
+def _compare(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, itself: bool, bits: int):
     sizes = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
     for group in np.array_split(np.arange(len(pairs)), max(1, math.ceil(int(sizes.sum()) / 1_000_000))):
         p, s = pairs[group], sizes[group]
@@ -249,14 +248,14 @@ def _compare(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, itself: bool):
         off = np.arange(len(k)) - np.repeat(np.cumsum(s) - s, s)
         wide = p[k, 3] - p[k, 2]
         i, j = p[k, 0] + off // wide, p[k, 2] + off % wide
-        near = np.bitwise_count(a[i] ^ b[j]) <= MAX_BITS
+        near = np.bitwise_count(a[i] ^ b[j]) <= bits
         if itself:
             near &= i < j
         if near.any():
             yield i[near], j[near]
 
 
-def _linked(trie: int, depth: int):
+def _linked(turn: int, depth: int, bits: int, parts: int):
     """Of a task's fingerprints: a spanning forest of the links it is there to find."""
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +266,7 @@ def _linked(trie: int, depth: int):
 
         def meet(a: np.ndarray, b: np.ndarray | None) -> None:
             at_a, at_b = np.searchsorted(every, a), np.searchsorted(every, a if b is None else b)
-            for x, y in _walk(a, b, depth):
+            for x, y in _walk(a, b, depth, bits, parts):
                 forest.add(at_a[x], at_b[y])
 
         if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
@@ -275,24 +274,28 @@ def _linked(trie: int, depth: int):
         meet(home, guests)
         root = forest.roots(np.arange(len(every)))
         tied = root != np.arange(len(every))
-        back = _turned(every, trie)
+        back = _turned(every, 64 - turn)
         return pd.DataFrame({"u": back[tied].view(np.int64), "v": back[root[tied]].view(np.int64)})
 
     return link
 
 
-def links(distinct: DataFrame, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """(u, v): links between distinct fingerprints (column fp) that connect all that are within MAX_BITS."""
+def links(distinct: DataFrame, leaf: int = LEAF, block: int = BLOCK, bits: int = MAX_BITS, parts: int = PARTS) -> DataFrame:
+    """(u, v): links between distinct fingerprints (column fp) that connect all that are within so many bits.
+
+    Of two that near, one of ``parts`` equal parts differs in bits // parts at most: each begins a trie.
+    """
     n = distinct.count()
-    depth = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(max(n, 1) / leaf))))
+    depth = min(MOST_DEPTH, 64 // parts, max(LEAST_DEPTH, math.ceil(math.log2(max(n, 1) / leaf))))
     out = None
-    for trie in (0, 1):
-        top = F.shiftrightunsigned(F.col("fp") if trie == 0 else F.shiftleft("fp", 32), 64 - depth)
+    for trie in range(parts):
+        turn = trie * (64 // parts)
+        top = F.shiftrightunsigned(F.shiftleft("fp", turn), 64 - depth)
         # Counts of nodes above a block: at most n / block rows, and never more than 2^MOST_DEPTH.
         large = distinct.groupBy(top.alias("node")).count().where(F.col("count") > block).collect()
         blocks = {r["node"]: math.ceil(r["count"] / block) for r in large}
-        dealt = arrow_map(distinct.select("fp"), _dealt(trie, depth, blocks), "node long, i int, j int, kind int, fp long")
-        found = dealt.groupBy("node", "i", "j").applyInPandas(_linked(trie, depth), "u long, v long")
+        dealt = arrow_map(distinct.select("fp"), _dealt(turn, depth, bits // parts, blocks), "node long, i int, j int, kind int, fp long")
+        found = dealt.groupBy("node", "i", "j").applyInPandas(_linked(turn, depth, bits, parts), "u long, v long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -2,13 +2,18 @@
 
 A-Z are lower-cased, words are runs of ``[^\\x20\\x09-\\x0D]``, shingles are 5 words joined by a
 space, as a set (fewer words: the whole sequence).  Texts of one set of shingles are one from the
-start.  Candidates are sets that agree in one of BANDS bands of ROWS MinHash values: of pairs at
-0.8, (1 - 0.8^4)^32 = 5e-8 meet in no band, of more similar ones fewer.  Each pair that meets is
-compared exactly on the sets, and components are of the pairs that reach 0.8.
-
-The first bands come first; of the others only buckets whose members are not yet in one component
-are read.  A bucket of more than BLOCK sets is split in blocks, each pair of which is a task,
-which returns a spanning forest of the links it finds, never all pairs of a dense group.
+start.  Each set has a SimHash fingerprint, and near fingerprints are found by the self-join of
+simhash's tries: sets whose fingerprints are tied that way are a bucket.  Near means within MOST_BITS
+bits, or as many fewer as keep chance links below CHANCE to a fingerprint.  Some pairs at 0.8 differ
+in more bits, so the sets that are still apart meet in further buckets, of sets that agree in one of
+BANDS bands of ROWS MinHash values: of pairs at 0.8, (1 - 0.8^4)^32 = 5e-8 meet in no band, of more
+similar ones fewer.  Each pair that meets is compared exactly on the sets, and components are of the
+pairs that reach 0.8.
+
+Fingerprints come first, then the first bands, then the others; of the bands only buckets whose
+members are not yet in one component are read.  A bucket of more than BLOCK sets is split in blocks,
+each pair of which is a task, which returns a spanning forest of the links it finds, never all pairs
+of a dense group.
 
 Edge cases: null and empty texts and texts of white space have no shingles and are near duplicates
 of each other; a null doc_id is ignored by component_id (a component of null ids only has null).
@@ -16,6 +21,7 @@ of each other; a null doc_id is ignored by component_id (a component of null ids
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clarispark.llm import simhash
 from clarispark.llm.common import arrow_map, batch_of, slices
 from clarispark.llm.graph import connected_components
 from clarispark.llm.simhash import ROW, Forest, rows_of
@@ -32,6 +39,8 @@ from clarispark.session import materialize, release
 
 SHINGLE, SEED = 5, 42
 ROWS, BANDS, FIRST_BANDS = 4, 32, 4
+#: Bits that near fingerprints differ in at most, tries that find them, and links by chance to a fingerprint.
+MOST_BITS, TRIES, CHANCE = 11, 4, 0.05
 #: Sets in a block of a bucket that is split, and shingles compared at a time.
 BLOCK, WIDE = 512, 8192
 
@@ -39,7 +48,7 @@ _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 2**63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 2**64, ROWS * BANDS, np.uint64)
 
-PRINTS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ROW), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+PRINTS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ROW), ("key", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -73,12 +82,13 @@ def bands_of(found: np.ndarray) -> list[int]:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        keys, bands = [], []
+        keys, fps, bands = [], [], []
         for t in b.column("text").cast(pa.binary()).to_pylist():
             found = shingles(t or b"")
             keys.append(_signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)))
+            fps.append(_signed(simhash.majority(found)))
             bands.append(bands_of(found))
-        yield batch_of(PRINTS, [b.column("doc_id"), *(b.column(c) for c in ROW), keys, bands])
+        yield batch_of(PRINTS, [b.column("doc_id"), *(b.column(c) for c in ROW), keys, fps, bands])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +144,28 @@ def _links(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInPandas(_linked, "u long, v long")
 
 
+def near_bits(n: int) -> int:
+    """Bits that near ones of n fingerprints differ in at most."""
+    chance = lambda bits: n * sum(math.comb(64, k) for k in range(bits + 1)) / 2**64
+    return max([simhash.MAX_BITS, *(b for b in range(MOST_BITS + 1) if chance(b) <= CHANCE)])
+
+
+def _near_fingerprints(firsts: DataFrame) -> DataFrame:
+    """(bucket, n, key): sets whose fingerprints are tied by links of simhash's tries, in buckets of two and more."""
+    fps = materialize(firsts.select("fp").distinct(), "set_fingerprints")
+    roots = connected_components(simhash.links(fps, bits=near_bits(fps.count()), parts=TRIES))
+    placed = materialize(firsts.join(roots, firsts["fp"] == roots["u"], "left").select("key", F.coalesce("root", "fp").alias("bucket")), "placed_sets")
+    tied = materialize(placed.join(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket").select("bucket", "n", "key"), "tied_sets")
+    release(fps, placed)
+    return tied
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, ROW, component_id and root (the key of a set of the component) for every row of docs."""
     named = rows_of(docs)
-    prints = materialize(arrow_map(named, _prints, f"doc_id long, {ROW[0]} long, {ROW[1]} long, key long, bands array<long>"), "shingle_prints")
-    firsts = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(*ROW)).alias("row"), F.first("bands").alias("bands")), "distinct_sets")
+    prints = materialize(arrow_map(named, _prints, f"doc_id long, {ROW[0]} long, {ROW[1]} long, key long, fp long, bands array<long>"), "shingle_prints")
+    firsts = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(*ROW)).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct_sets")
+    tied = _near_fingerprints(firsts.select("key", "fp"))
 
     # Buckets of two sets and more; of those with the same sets, the one of the first band.
     spread = firsts.select("key", F.posexplode("bands").alias("band", "bucket"))
@@ -146,21 +173,26 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     buckets = buckets.groupBy("n", "lo", "hi", "mix").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "b.band", "b.bucket")
     buckets = materialize(buckets, "buckets")
     members = materialize(spread.drop("band").join(buckets, "bucket").select("bucket", "band", "n", "key"), "bucket_members")
-    wanted = materialize(firsts.join(members.select("key").distinct(), "key", "left_semi").select("key", "row.*"), "wanted_sets")
+    wanted = materialize(firsts.join(members.select("key").unionByName(tied.select("key")).distinct(), "key", "left_semi").select("key", "row.*"), "wanted_sets")
     texts = named.join(wanted, list(ROW)).select("key", "text")  # one row of each set
     sets = materialize(arrow_map(texts, _sets, "key long, shingles array<long>"), "shingle_sets")
 
-    early = materialize(_links(members.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("key")), sets, block), "first_links")
-    roots = connected_components(early)
-    late = members.where(F.col("band") >= FIRST_BANDS).join(roots.withColumnRenamed("u", "key"), "key", "left")
-    late = materialize(late.select("bucket", "n", "key", F.coalesce("root", "key").alias("root")), "later_members")
-    mixed = materialize(late.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"), "mixed_buckets")
-    later = materialize(_links(late.join(mixed, "bucket", "left_semi"), sets, block), "later_links")
-    roots = connected_components(early.unionByName(later))
+    found = materialize(_links(tied.withColumn("root", F.col("key")), sets, block), "simhash_links")
+    done = [found]
+    for name, own in (("first", F.col("band") < FIRST_BANDS), ("later", F.col("band") >= FIRST_BANDS)):
+        roots = connected_components(found)
+        met = members.where(own).join(roots.withColumnRenamed("u", "key"), "key", "left")
+        met = materialize(met.select("bucket", "n", "key", F.coalesce("root", "key").alias("root")), f"{name}_members")
+        mixed = materialize(met.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"), f"{name}_mixed_buckets")
+        more = materialize(_links(met.join(mixed, "bucket", "left_semi"), sets, block), f"{name}_links")
+        release(met, mixed)
+        done.append(more)
+        found = found.unionByName(more)
+    roots = connected_components(found)
 
     grouped = firsts.join(roots, firsts["key"] == roots["u"], "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
     grouped = materialize(grouped, "grouped_sets")
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = materialize(grouped.join(least, "root").select("key", "component_id", "root"), "components")
-    release(firsts, buckets, members, wanted, sets, early, late, mixed, later, grouped)
+    release(firsts, tied, buckets, members, wanted, sets, *done, grouped)
     return prints.join(component, "key").select("doc_id", *ROW, "component_id", "root")
