@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ CACHED_WORDS = 1_000_000
 
 #: str.split() takes these for white space and the tokenizer doesn't: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: These and the white space of str.split() beyond ASCII.
+_WIDE_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Fixed value: the vocabulary's split of normalised text.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin letters whose lower case doesn't depend on their neighbours; words of others go to the tokenizer as they are.
@@ -64,7 +67,9 @@ class Encoder:
 
     This vocabulary never joins characters across white space, so the ids of a text are those
     of its words in turn, and words and their parts (runs of letters, digits, other signs) are
-    remembered.  New parts are encoded together; the last token of each ends in ``</w>``.
+    remembered.  New parts are encoded together; the last token of each ends in ``</w>``.  A part is
+    a word itself, so one table holds both.  A full table becomes the older one, from which words
+    that are met again come back, so frequent words are never learned again.
     """
 
     def __init__(self, path: str):
@@ -73,7 +78,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -81,42 +86,87 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_parts(self, new: list[str]) -> None:
+    def _known(self, words: list[str] | set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """The ids of the words that are remembered, and the other words."""
+        ids = dict(zip(words, map(self.words.get, words), strict=True))
+        missed = [w for w, i in ids.items() if i is None]
+        back = {w: i for w, i in zip(missed, map(self.older.get, missed), strict=True) if i is not None}
+        self.words.update(back)
+        ids.update(back)
+        return ids, [w for w in missed if w not in back] if back else missed
+
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
                 raw, ends = ids.tobytes(), (4 * ends).tolist()
-                self.parts.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+                out.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
-                self.parts.update((x, self._whole(x)) for x in some)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        cut = {}
-        for w in words:
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                low = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
-                cut[w] = (low,) if low.isalpha() else _SPLIT.findall(low)
+                out.update((x, self._whole(x)) for x in some)
+        return out
+
+    def _learned(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't remembered; they are now."""
+        out, cut, parts = {}, {}, set()
+        plain = _PLAIN.fullmatch
+        for w in new:
+            if not plain(w) or "<|" in w:
+                out[w] = self._whole(w)
+                continue
+            low = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
+            if low.isalpha():
+                parts.add(low)
+                if low != w:
+                    cut[w] = (low,)
             else:
-                self.words[w] = self._whole(w)
-        self._learn_parts(list({p for parts in cut.values() for p in parts if p not in self.parts}))
-        part = self.parts.__getitem__
-        self.words.update((w, part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))) for w, parts in cut.items())
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        get = self.words.get
-        found = [words and list(map(get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if ids and None in ids for w, i in zip(words, ids, strict=True) if i is None}
+                cut[w] = found = (low[:-1], low[-1]) if low[:-1].isalpha() else _SPLIT.findall(low)
+                parts.update(found)
+        ids, unknown = self._known(parts)
+        encoded = self._encoded(unknown)
+        ids.update(encoded)
+        part = ids.__getitem__
+        out.update((w, part(own[0]) if len(own) == 1 else b"".join(map(part, own))) for w, own in cut.items())
+        if len(self.words) + len(out) + len(encoded) > CACHED_WORDS:
+            self.older, self.words = self.words, {}
+        self.words.update(encoded)
+        self.words.update(out)
+        ids.update(out)
+        return ids
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Words are split and numbered by Arrow, so that Python sees each of these texts' words once."""
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        whole: dict[int, bytes] = {}
+        wide = np.flatnonzero(pc.match_substring_regex(column, _WIDE_SPACE).to_numpy(zero_copy_only=False))
+        if len(wide):
+            some = column.to_pylist()
+            for k in wide.tolist():
+                odd = _ODD_SPACE.search(some[k])
+                if odd:
+                    whole[k] = self._whole(some[k])
+                some[k] = "" if odd else " ".join(some[k].split())
+            column = pa.array(some, pa.string())
+        split = pc.ascii_split_whitespace(column)
+        coded = split.flatten().dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, new = self._known(own)
         if new:
-            self._learn(new)
-            found = [ids and [get(w) if i is None else i for w, i in zip(words, ids, strict=True)] if ids and None in ids else ids for words, ids in zip(split, found, strict=True)]
-        return [self._whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
+            ids.update(self._learned(new))
+        held = list(map(ids.__getitem__, own))
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        pool, starts = np.frombuffer(b"".join(held), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        raw = pool[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(lengths.sum())].tobytes()
+        edges = (4 * np.concatenate(([0], ends))[split.offsets.to_numpy()]).tolist()
+        out = list(map(raw.__getitem__, map(slice, edges[:-1], edges[1:])))
+        for k, i in whole.items():
+            out[k] = i
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -138,10 +188,10 @@ def _cut(path: str, capacity: int, end_id: int):
 
         encode, seen, part = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 out: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(b.column("doc_id").to_pylist(), encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+                for doc, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text")), strict=True):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         cell = ids[start : start + 4 * capacity]
