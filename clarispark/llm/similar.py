@@ -11,7 +11,9 @@ similar ones fewer.  Each pair that meets is compared exactly on the sets, and c
 pairs that reach 0.8.
 
 Fingerprints come first, then the first bands, then the others; of the bands only buckets whose
-members are not yet in one component are read.  A bucket of more than BLOCK sets is split in blocks,
+members are not yet in one component are read.  Only texts of sets that meet another are read again:
+FILTER_BITS bits that are sent to all tasks leave out most of the others before texts are shuffled, and
+an exact join the rest.  A bucket of more than BLOCK sets is split in blocks,
 each pair of which is a task, which returns a spanning forest of the links it finds, never all pairs
 of a dense group.
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clarispark.llm import simhash
-from clarispark.llm.common import arrow_map, batch_of, slices
+from clarispark.llm.common import arrow_map, batch_of, forget_tables, slices
 from clarispark.llm.graph import connected_components
 from clarispark.llm.simhash import ROW, Forest, rows_of
 from clarispark.session import materialize, release
@@ -43,6 +45,8 @@ ROWS, BANDS, FIRST_BANDS = 4, 32, 4
 MOST_BITS, TRIES, CHANCE = 11, 4, 0.05
 #: Sets in a block of a bucket that is split, and shingles compared at a time.
 BLOCK, WIDE = 512, 8192
+#: Bits of the filter of rows whose texts are read again: 64 to a row, so a quarter of a million rows of two numbers at most.
+FILTER_BITS = 1 << 24
 
 _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 2**63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,6 +85,7 @@ def bands_of(found: np.ndarray) -> list[int]:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_tables()
     for b in slices(batches):
         keys, fps, bands = [], [], []
         for t in b.column("text").cast(pa.binary()).to_pylist():
@@ -92,6 +97,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_tables()
     for b in slices(batches):
         found = [pa.array(shingles(t or b"").view(np.int64)) for t in b.column("text").cast(pa.binary()).to_pylist()]
         sizes = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -160,6 +166,15 @@ def _near_fingerprints(firsts: DataFrame) -> DataFrame:
     return tied
 
 
+def _texts_of(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the rows of named that wanted (key, ROW) holds; few other texts are shuffled."""
+    at = F.pmod(F.xxhash64(*ROW), F.lit(FILTER_BITS))
+    word, bit = F.shiftrightunsigned(at, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    held = wanted.select(word, bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    maybe = named.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(held), "__word").where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0)
+    return maybe.select(*ROW, "text").join(wanted.hint("merge"), list(ROW)).select("key", "text")
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, ROW, component_id and root (the key of a set of the component) for every row of docs."""
     named = rows_of(docs)
@@ -174,8 +189,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     buckets = materialize(buckets, "buckets")
     members = materialize(spread.drop("band").join(buckets, "bucket").select("bucket", "band", "n", "key"), "bucket_members")
     wanted = materialize(firsts.join(members.select("key").unionByName(tied.select("key")).distinct(), "key", "left_semi").select("key", "row.*"), "wanted_sets")
-    texts = named.join(wanted, list(ROW)).select("key", "text")  # one row of each set
-    sets = materialize(arrow_map(texts, _sets, "key long, shingles array<long>"), "shingle_sets")
+    sets = materialize(arrow_map(_texts_of(named, wanted), _sets, "key long, shingles array<long>"), "shingle_sets")
 
     found = materialize(_links(tied.withColumn("root", F.col("key")), sets, block), "simhash_links")
     done = [found]
