@@ -41,8 +41,8 @@ from clarispark.session import materialize, release
 
 CAPACITY, END_ID = 2048, 0
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 4, 4
-#: Words whose ids a Python worker remembers.
-CACHED_WORDS = 1_000_000
+#: Words whose ids a table of a Python worker remembers, and bytes of the longest word that is remembered.
+CACHED_WORDS, LONGEST_WORD = 1_000_000, 64
 
 # --- Documents to pieces --------------------------------------------------------------------------
 
@@ -62,6 +62,99 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Column:
+    """Words with their hashes, and where their UTF-8 lies."""
+
+    def __init__(self, words: list[str], column: pa.Array | None = None):
+        column = pa.array(words, pa.string()) if column is None else column
+        _, ends, data = column.buffers()
+        self.hashes = np.fromiter(map(hash, words), np.int64, len(words))
+        self.data = np.frombuffer(data or b"", np.uint8)
+        ends = np.frombuffer(ends or bytes(4), np.int32)[column.offset : column.offset + len(words) + 1].astype(np.int64)
+        self.starts, self.sizes = ends[:-1], np.diff(ends)
+
+
+class Words:
+    """At most ``most`` words and their ids, in flat arrays that are touched as they fill.
+
+    A word takes about 50 bytes (a dict of str and bytes takes 140), and never more than 64 on
+    average: a table is also full when its text or its ids are.  Words longer than LONGEST_WORD
+    aren't remembered.  Hashes only find candidates: the words themselves are compared.
+    """
+
+    def __init__(self, most: int):
+        self.n, self.most = 0, most
+        self.slots = np.zeros(1 << (2 * most).bit_length(), np.uint32)  # the word's number and 1; 0: free
+        self.hashes = np.empty(most, np.int64)
+        self.text, self.text_ends = np.empty(16 * most, np.uint8), np.zeros(most + 1, np.uint32)
+        self.ids, self.id_ends = np.empty(4 * most, "<u4"), np.zeros(most + 1, np.uint32)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def clear(self) -> None:
+        self.n = 0
+        self.slots[:] = 0
+
+    def place(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the words of these numbers begin, and how many they are."""
+        starts = self.id_ends[numbers].astype(np.int64)
+        return starts, self.id_ends[numbers + 1] - starts
+
+    def _equal(self, numbers: np.ndarray, column: Column, at: np.ndarray) -> np.ndarray:
+        starts, sizes = self.text_ends[numbers].astype(np.int64), column.sizes[at]
+        equal = self.text_ends[numbers + 1] - starts == sizes
+        for lo in range(0, len(at), 65_536):  # bounds the places
+            k = lo + np.flatnonzero(equal[lo : lo + 65_536])
+            differs = self.text[_ranges(starts[k], sizes[k])] != column.data[_ranges(column.starts[at[k]], sizes[k])]
+            if differs.any():
+                equal[np.repeat(k, sizes[k])[differs]] = False
+        return equal
+
+    def find(self, column: Column, left: np.ndarray) -> np.ndarray:
+        """Numbers of the column's words at left, -1 for words that aren't here."""
+        out = np.full(len(left), -1, np.int64)
+        if not self.n:
+            return out
+        row, at = np.arange(len(left)), column.hashes[left] & (len(self.slots) - 1)
+        while len(row):
+            numbers = self.slots[at].astype(np.int64) - 1
+            used = numbers >= 0
+            row, at, numbers = row[used], at[used], numbers[used]
+            same = self.hashes[numbers] == column.hashes[left[row]]
+            same[same] = self._equal(numbers[same], column, left[row[same]])
+            out[row[same]] = numbers[same]
+            row, at = row[~same], (at[~same] + 1) & (len(self.slots) - 1)
+        return out
+
+    def room(self, text_sizes: np.ndarray, id_sizes: np.ndarray) -> int:
+        """How many of the words, from the first on, there is room for."""
+        free = ((text_sizes, len(self.text) - int(self.text_ends[self.n])), (id_sizes, len(self.ids) - int(self.id_ends[self.n])))
+        return min(self.most - self.n, *(int(np.searchsorted(np.cumsum(x), space, "right")) for x, space in free))
+
+    def add(self, column: Column, own: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes the column's words at own, which aren't here, with their ranges of ids; there is room."""
+        n, self.n = self.n, self.n + len(own)
+        numbers = np.arange(n, self.n)
+        self.hashes[n : self.n] = column.hashes[own]
+        for pool, ends, data, begin, size in ((self.text, self.text_ends, column.data, column.starts[own], column.sizes[own]), (self.ids, self.id_ends, ids, starts, sizes)):
+            first = int(ends[n])
+            ends[n + 1 : self.n + 1] = first + np.cumsum(size)
+            pool[first : int(ends[self.n])] = data[_ranges(begin, size)]
+        at = column.hashes[own] & (len(self.slots) - 1)
+        while len(numbers):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = numbers[free] + 1
+            lost = self.slots[at] != numbers + 1  # taken before, or by another of these
+            numbers, at = numbers[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+
 class Encoder:
     """Ids of whole texts, 32-bit little-endian.
 
@@ -77,8 +170,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words, self.older = Words(CACHED_WORDS), Words(CACHED_WORDS)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -86,14 +178,32 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _known(self, words: list[str] | set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """The ids of the words that are remembered, and the other words."""
-        ids = dict(zip(words, map(self.words.get, words), strict=True))
-        missed = [w for w, i in ids.items() if i is None]
-        back = {w: i for w, i in zip(missed, map(self.older.get, missed), strict=True) if i is not None}
-        self.words.update(back)
-        ids.update(back)
-        return ids, [w for w in missed if w not in back] if back else missed
+    def _remember(self, column: Column, own: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        short = column.sizes[own] <= LONGEST_WORD
+        own, starts, sizes = own[short], starts[short], sizes[short]
+        if self.words.room(column.sizes[own], sizes) < len(own):
+            self.older, self.words = self.words, self.older
+            self.words.clear()
+        n = self.words.room(column.sizes[own], sizes)
+        self.words.add(column, own[:n], ids, starts[:n], sizes[:n])
+
+    def _known(self, column: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the words that are remembered, where each word's begin and how many they are, and the places of the other words."""
+        numbers = self.words.find(column, np.arange(len(column.hashes)))
+        here, missed = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        before = self.older.find(column, missed)
+        back, new = missed[before >= 0], missed[before < 0]
+        starts, sizes, pools = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64), []
+        first = 0
+        for table, at, own in ((self.words, here, numbers[here]), (self.older, back, before[before >= 0])):
+            begin, sizes[at] = table.place(own)
+            pools.append(table.ids[_ranges(begin, sizes[at])])
+            starts[at] = first + np.cumsum(sizes[at]) - sizes[at]
+            first += len(pools[-1])
+        ids = np.concatenate(pools)
+        if len(back):
+            self._remember(column, back, ids, starts[back], sizes[back])
+        return ids, starts, sizes, new
 
     def _encoded(self, new: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
@@ -124,15 +234,19 @@ class Encoder:
             else:
                 cut[w] = found = (low[:-1], low[-1]) if low[:-1].isalpha() else _SPLIT.findall(low)
                 parts.update(found)
-        ids, unknown = self._known(parts)
-        encoded = self._encoded(unknown)
+        some = list(parts)
+        pool, starts, sizes, unknown = self._known(Column(some))
+        raw, starts, ends = pool.tobytes(), 4 * starts, 4 * (starts + sizes)
+        ids = dict(zip(some, map(raw.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True))
+        encoded = self._encoded([some[k] for k in unknown.tolist()])
         ids.update(encoded)
         part = ids.__getitem__
         out.update((w, part(own[0]) if len(own) == 1 else b"".join(map(part, own))) for w, own in cut.items())
-        if len(self.words) + len(out) + len(encoded) > CACHED_WORDS:
-            self.older, self.words = self.words, {}
-        self.words.update(encoded)
-        self.words.update(out)
+        encoded.update(out)
+        if encoded:
+            sizes = np.fromiter(map(len, encoded.values()), np.int64, len(encoded)) // 4
+            column, pool = Column(list(encoded)), np.frombuffer(b"".join(encoded.values()), "<u4")
+            self._remember(column, np.arange(len(sizes)), pool, np.cumsum(sizes) - sizes, sizes)
         ids.update(out)
         return ids
 
@@ -152,17 +266,17 @@ class Encoder:
         split = pc.ascii_split_whitespace(column)
         coded = split.flatten().dictionary_encode()
         own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids, new = self._known(own)
-        if new:
-            ids.update(self._learned(new))
-        held = list(map(ids.__getitem__, own))
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        pool, starts = np.frombuffer(b"".join(held), "<u4"), np.cumsum(sizes) - sizes
+        pool, starts, sizes, new = self._known(Column(own, coded.dictionary))
+        if len(new):
+            words = [own[k] for k in new.tolist()]
+            held = list(map(self._learned(words).__getitem__, words))
+            sizes[new] = np.fromiter(map(len, held), np.int64, len(held)) // 4
+            starts[new] = len(pool) + np.cumsum(sizes[new]) - sizes[new]
+            pool = np.concatenate((pool, np.frombuffer(b"".join(held), "<u4")))
         at = coded.indices.to_numpy()
         lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        raw = pool[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(lengths.sum())].tobytes()
-        edges = (4 * np.concatenate(([0], ends))[split.offsets.to_numpy()]).tolist()
+        raw = pool[_ranges(starts[at], lengths)].tobytes()
+        edges = (4 * np.concatenate(([0], np.cumsum(lengths)))[split.offsets.to_numpy()]).tolist()
         out = list(map(raw.__getitem__, map(slice, edges[:-1], edges[1:])))
         for k, i in whole.items():
             out[k] = i
@@ -200,6 +314,7 @@ def _cut(path: str, capacity: int, end_id: int):
                             column.append(value)
                         seen[n] += 1
                 yield batch_of(PIECES, [*out[:5], [part] * len(out[0]), out[5]])
+                pa.default_memory_pool().release_unused()  # what these texts' words took
 
     return cut
 
