@@ -37,6 +37,12 @@ def updated(assigned_df: DataFrame, columns: list[str], k: int) -> tuple[np.ndar
 
 @dataclass
 class WKModes:
+    """Clusters with weights of columns: exp(-percent of the cluster's rows that differ from its centre / lambda_), scaled to a sum of 1.
+
+    Percent and not numbers of rows: with these a large table puts all weight on the column with the
+    fewest differing rows, by chance or not.  A cluster of 100 rows has the same weights either way.
+    """
+
     n_clusters: int = 3
     max_iter: int = 100
     lambda_: float = 7.0
@@ -83,7 +89,7 @@ class WKModes:
                 after = centers.copy()
                 after[held] = np.floor(sums[held] / n[held][:, None] + 0.5)
                 spread = np.abs(sums - after * n[:, None])
-                z = -spread / self.lambda_
+                z = -100 * spread / np.maximum(n, 1)[:, None] / self.lambda_
                 weights = np.exp(z - z.max(1, keepdims=True))
                 weights /= weights.sum(1, keepdims=True)
                 self.cost.append(float((weights * spread).sum()))
