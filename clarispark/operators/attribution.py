@@ -109,14 +109,16 @@ def shap_sampled(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.nda
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(run, f"`{key}` {kind}, feature string, class int, value double")
 
 
-def shap_tree(df: DataFrame, key: str, ensemble: TreeEnsemble, features: list[str], background: pd.DataFrame | None = None, matched: dict[str, str] | None = None) -> DataFrame:
+def shap_tree(df: DataFrame, key: str, ensemble: TreeEnsemble, features: list[str], background: DataFrame | pd.DataFrame | None = None, matched: dict[str, str] | None = None) -> DataFrame:
     """(key, feature, class, value): exact Shapley values of fitted trees, whatever the number of features.
 
     A leaf is reached by a mixture of a row and a baseline row only if each feature on its path
     suits one of the two.  With a features that only the row suits and b that only the baseline
     does, the leaf's weight is shared by (a - 1)! b! / (a + b)! among the first and taken by
     a! (b - 1)! / (a + b)! from the second.  Baselines: every row of ``background`` in turn (the
-    mean counts), or for each row its own, in the columns that ``matched`` names by feature.
+    mean counts), or for each row its own, in the columns that ``matched`` names by feature.  A
+    background of any size is counted where it lies: a leaf needs only how many of its rows suit
+    which of the features on its path.
     """
     if (background is None) == (matched is None):
         raise ValueError("give a background table or matched columns")
@@ -130,7 +132,6 @@ def shap_tree(df: DataFrame, key: str, ensemble: TreeEnsemble, features: list[st
     for i in range(1, deepest + 1):
         for j in range(deepest + 1 - i):
             share[i, j] = math.factorial(i - 1) * math.factorial(j) / math.factorial(i + j)
-    fixed = None if background is None else background[features].to_numpy(float)
 
     def suits(x: np.ndarray, own: list[int], tests: list) -> np.ndarray:
         out = np.ones((len(x), len(own)), bool)
@@ -139,6 +140,27 @@ def shap_tree(df: DataFrame, key: str, ensemble: TreeEnsemble, features: list[st
                 out[:, k] &= x[:, j] <= value if op == "<=" else x[:, j] > value
         return out
 
+    def kinds_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(leaf, kind, n): baselines that suit alike count together."""
+        for frame in frames:
+            z = frame[features].to_numpy(float)
+            for leaf, (own, tests, _) in enumerate(leaves):
+                if own and len(z):
+                    kinds, n = np.unique(suits(z, own, tests), axis=0, return_counts=True)
+                    yield pd.DataFrame({"leaf": leaf, "kind": [k.tobytes() for k in kinds], "n": n})
+
+    if isinstance(background, DataFrame):
+        doubles = background.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features])
+        found = doubles.mapInPandas(kinds_of, "leaf int, kind binary, n long").groupBy("leaf", "kind").agg(F.sum("n").alias("n")).collect()
+    else:
+        found = [] if background is None else [r for f in kinds_of(iter([background])) for r in f.to_dict("records")]
+    counted: list[list[tuple[np.ndarray, int]]] = [[] for _ in leaves]
+    for r in sorted(found, key=lambda r: (r["leaf"], bytes(r["kind"]))):
+        counted[r["leaf"]].append((np.frombuffer(bytes(r["kind"]), bool), r["n"]))
+    if background is not None and deepest and not found:
+        raise ValueError("the background has no rows")
+    size = max((sum(n for _, n in c) for c in counted), default=0)
+
     def contributions(mine: np.ndarray, theirs: np.ndarray, weight: float) -> np.ndarray:
         """Rows beside their baselines, (rows, own features) each."""
         live = (mine | theirs).all(1)
@@ -149,18 +171,15 @@ def shap_tree(df: DataFrame, key: str, ensemble: TreeEnsemble, features: list[st
         for frame in frames:
             x = frame[features].to_numpy(float)
             total = np.zeros((len(x), len(features), 1))
-            z = fixed if fixed is not None else frame[[f"__m_{c}" for c in features]].to_numpy(float)
-            for own, tests, weight in leaves:
+            for (own, tests, weight), kinds in zip(leaves, counted, strict=True):
                 if not own:
                     continue
-                mine, theirs = suits(x, own, tests), suits(z, own, tests)
-                if fixed is None:
-                    total[:, own, 0] += contributions(mine, theirs, weight)
-                else:  # baselines that suit alike count together
-                    kinds, n = np.unique(theirs, axis=0, return_counts=True)
-                    for kind, times in zip(kinds, n, strict=True):
-                        total[:, own, 0] += contributions(mine, np.broadcast_to(kind, mine.shape), weight * times / len(fixed))
-            yield _long(key, frame[key], features, total)
+                mine = suits(x, own, tests)
+                if matched is not None:
+                    total[:, own, 0] += contributions(mine, suits(frame[[f"__m_{c}" for c in features]].to_numpy(float), own, tests), weight)
+                for kind, times in kinds:
+                    total[:, own, 0] += contributions(mine, np.broadcast_to(kind, mine.shape), weight * times)
+            yield _long(key, frame[key], features, total / (size or 1))
 
     kind = dict(df.dtypes)[key]
     named = df.select(key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features], *[F.col(f"`{m}`").cast("double").alias(f"__m_{c}") for c, m in (matched or {}).items()])
