@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,43 +71,141 @@ def _long(key: str, keys, names: list[str], values: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({key: np.repeat(np.asarray(keys), f * k), "feature": np.tile(np.repeat(names, k), n), "class": np.tile(np.arange(k), n * f), "value": values.ravel()})
 
 
-def shap_sampled(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.ndarray], features: list[str], background: pd.DataFrame, permutations: int = 32, seed: int = 0, link: str = "identity", cells: int = 2_000_000) -> DataFrame:
+def _distinct(x: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of doubles, the place of each row among them, and how often each is there."""
+    place = np.zeros(len(x), np.int64)
+    for j in range(x.shape[1]):
+        own = np.unique(np.ascontiguousarray(x[:, j]).view(np.int64), return_inverse=True)[1]
+        place = np.unique(place * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+    return x[np.unique(place, return_index=True)[1]], place, np.bincount(place, times)
+
+
+def shap_sampled(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.ndarray], features: list[str], background: DataFrame | pd.DataFrame, permutations: int = 32, seed: int = 0, link: str = "identity", cells: int = 2_000_000) -> DataFrame:
     """(key, feature, class, value) by sampled permutations against a background table, for any number of features and classes.
 
     Each permutation is taken with its reverse, so effects of single features and of pairs are
-    exact.  Rows of a batch meet the whole background in one call of the model, of about ``cells``
-    cells at most.  The background is the user's, of a size that the driver holds.
+    exact.  The model is asked for each coalition about the distinct values that a part of the rows
+    has in it, beside the distinct values that a block of the background has in the other features,
+    in calls of about ``cells`` cells at most.  A pandas background travels with the tasks.  One of
+    Spark has any size: rows are dealt to groups, and each group reads the background as a stream.
     """
-    rows = background[features].to_numpy(float)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = len(features)
-        rng = np.random.default_rng(seed)
-        orders = [o for _ in range(max(1, -(-permutations // 2))) for p in (rng.permutation(m),) for o in (p, p[::-1])]
-        step = max(1, cells // max(1, len(rows) * (m + 1) * m))
-
-        def f(x: np.ndarray) -> np.ndarray:
-            out = _outputs(model(pd.DataFrame(x, columns=features)), len(x))
-            return np.log(out / (1 - out)) if link == "logit" else out
-
-        for frame in frames:
-            for at in range(0, len(frame), step):
-                x = frame[features].iloc[at : at + step].to_numpy(float)
-                total = None
-                for order in orders:
-                    now = np.broadcast_to(rows, (len(x), *rows.shape)).copy()  # (rows, background, features)
-                    steps = [now.copy()]
-                    for j in order:
-                        now[:, :, j] = x[:, None, j]
-                        steps.append(now.copy())
-                    v = f(np.concatenate(steps).reshape(-1, m)).reshape(m + 1, len(x), len(rows), -1).mean(2)
-                    gain = np.zeros((len(x), m, v.shape[-1]))
-                    gain[:, order] = np.diff(v, axis=0).transpose(1, 0, 2)
-                    total = gain if total is None else total + gain
-                yield _long(key, frame[key].iloc[at : at + step], features, total / len(orders))
-
+    m = len(features)
+    rng = np.random.default_rng(seed)
+    orders = [o for _ in range(max(1, -(-permutations // 2))) for p in (rng.permutation(m),) for o in (p, p[::-1])]
+    gains: dict[tuple, np.ndarray] = {}  # how often a coalition's value is added to each feature's, or taken from it
+    for order in orders:
+        for i, j in enumerate(order):
+            for coalition, sign in ((order[:i], -1), (order[: i + 1], 1)):
+                gains.setdefault(tuple(np.isin(range(m), coalition).tolist()), np.zeros(m))[j] += sign
+    whole = gains.pop((True,) * m)
     kind = dict(df.dtypes)[key]
-    return df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(run, f"`{key}` {kind}, feature string, class int, value double")
+    schema = f"`{key}` {kind}, feature string, class int, value double"
+
+    def f(x: np.ndarray) -> np.ndarray:
+        out = _outputs(model(pd.DataFrame(x, columns=features)), len(x))
+        return np.log(out / (1 - out)) if link == "logit" else out
+
+    def plus(total: np.ndarray | None, values: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(values), m, values.shape[1])) if total is None else total
+        for j in np.flatnonzero(gain):
+            total[:, j] += gain[j] * values
+        return total
+
+    def met(total: np.ndarray | None, x: np.ndarray, z: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """total and what a block of the background adds to it, by all coalitions but the whole."""
+        for coalition, gain in gains.items():
+            own = np.array(coalition, bool)
+            xs, place, _ = _distinct(x[:, own])
+            zs, _, n = _distinct(z[:, ~own], times)
+            wide = min(len(zs), max(1, cells // m))
+            tall = max(1, cells // (wide * m))
+            sums = []
+            for at in range(0, len(xs), tall):
+                mine, v = xs[at : at + tall], 0.0
+                for to in range(0, len(zs), wide):
+                    theirs = zs[to : to + wide]
+                    mixed = np.empty((len(mine), len(theirs), m))
+                    mixed[:, :, own], mixed[:, :, ~own] = mine[:, None], theirs
+                    v = v + n[to : to + wide] @ f(mixed.reshape(-1, m)).reshape(len(mine), len(theirs), -1)
+                sums.append(v)
+            total = plus(total, np.concatenate(sums)[place], gain)
+        return total
+
+    def ended(total: np.ndarray, x: np.ndarray, size: float) -> np.ndarray:
+        step = max(1, cells // m)
+        own = np.concatenate([f(x[at : at + step]) for at in range(0, len(x), step)])
+        return plus(total, own, whole * size) / (size * len(orders))
+
+    if isinstance(background, pd.DataFrame):
+        rows = background[features].to_numpy(float)
+        if not len(rows):
+            raise ValueError("the background has no rows")
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            step = max(1, cells // (200 * m))
+            for frame in frames:
+                for at in range(0, len(frame), step):
+                    x = frame[features].iloc[at : at + step].to_numpy(float)
+                    yield _long(key, frame[key].iloc[at : at + step], features, ended(met(None, x, rows, np.ones(len(rows))), x, len(rows)))
+
+        return df.select(key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).mapInPandas(run, schema)
+
+    def numbers(batches: list[pa.RecordBatch]) -> np.ndarray:
+        """Features, then how often a row is there."""
+        return np.concatenate([np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3, m + 4)]) for b in batches])
+
+    def long(keys: pa.Array, times: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, rows = values.shape[2], np.repeat(np.arange(len(values)), times.astype(int))
+        step = max(1, 100_000 // (m * k))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            each = np.tile(np.repeat(np.arange(m), k), len(part))
+            columns = [keys.take(pa.array(np.repeat(part, m * k))), pa.array(features).take(pa.array(each)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(part) * m)), pa.array(values[part].ravel())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "feature", "class", "value"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of each group come before its background."""
+        group, mine, block, waiting, size, x, total = None, [], [], 0, 0.0, None, None
+
+        def read() -> None:
+            nonlocal block, waiting, size, x, total
+            x = numbers(mine) if x is None else x
+            z = numbers(block)
+            total, size = met(total, x[:, :m], z[:, :m], z[:, m]), size + z[:, m].sum()
+            block, waiting = [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if block:
+                read()
+            if mine and not size:
+                raise ValueError("the background has no rows")
+            if mine:
+                yield from long(pa.concat_arrays([b.column(2) for b in mine]), x[:, m], ended(total, x[:, :m], size))
+
+        for batch in batches:
+            of, second = (batch.column(i).to_numpy() for i in (0, 1))
+            cuts = [0, *(np.flatnonzero((np.diff(of) != 0) | (np.diff(second) != 0)) + 1).tolist(), len(of)]
+            for a, b in itertools.pairwise(cuts):
+                if a < b and of[a] != group:
+                    yield from close()
+                    group, mine, block, waiting, size, x, total = of[a], [], [], 0, 0.0, None, None
+                if a < b and not second[a]:
+                    mine.append(batch.slice(a, b - a))
+                elif a < b and mine:
+                    block.append(batch.slice(a, b - a))
+                    waiting += b - a
+                    if waiting * m >= cells:
+                        read()
+        yield from close()
+
+    names = [f"__f{i}" for i in range(m)]
+    doubles = [F.col(f"`{c}`").cast("double").alias(a) for c, a in zip(features, names, strict=True)]
+    groups = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-20 * m * df.count() // cells))
+    ours = df.select(F.col(f"`{key}`").alias("__key"), *doubles).groupBy("__key", *names).agg(F.count(F.lit(1)).alias("__n"))
+    ours = ours.select(F.pmod(F.xxhash64("__key", *names), F.lit(groups)).cast("int").alias("__group"), F.lit(0).alias("__second"), "__key", *names, "__n")
+    theirs = background.select(*doubles).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    theirs = theirs.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"), F.lit(1).alias("__second"), F.lit(None).cast(kind).alias("__key"), *names, "__n")
+    return ours.unionByName(theirs).repartition(groups, "__group").sortWithinPartitions("__group", "__second", *names).mapInArrow(stream, schema)
 
 
 def shap_tree(df: DataFrame, key: str, ensemble: TreeEnsemble, features: list[str], background: DataFrame | pd.DataFrame | None = None, matched: dict[str, str] | None = None) -> DataFrame:
@@ -329,7 +428,7 @@ def lime_text(df: DataFrame, key: str, text: str, model: Callable[[list[str]], n
 
 def of_class(values: DataFrame, k: int) -> DataFrame:
     """One class of a long attribution table; an unknown class is an error."""
-    if values.where(F.col("class") == k).limit(1).count() == 0:
+    if values.where(F.col("class") == k).isEmpty():
         raise ValueError(f"no class {k}")
     return values.where(F.col("class") == k)
 

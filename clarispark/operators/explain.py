@@ -83,7 +83,7 @@ class ShapExplainer(Explainer):
         self.link, self.mode = link, mode
         self.method = method if method != "auto" else "linear" if isinstance(model, dict) else "tree" if hasattr(model, "toDebugString") else "kernel"
 
-    def _attribute(self, data: DataFrame, baseline, most_rows: int = 10_000, **options) -> DataFrame:
+    def _attribute(self, data: DataFrame, baseline, **options) -> DataFrame:
         fixed = isinstance(baseline, dict)
         if self.mode == "match" and not fixed:
             own = {c: f"__base_{c}" for c in self.features}
@@ -103,11 +103,9 @@ class ShapExplainer(Explainer):
             return self._melted(attribution.shap_linear(data, self.model, columns), "__shap")
         if self.method == "exact":
             return self._melted(attribution.shap_exact(data, self.model, self.features, columns, self.link), "__shap")
+        rows = pd.DataFrame([baseline]) if fixed else baseline
         if self.method == "tree":
-            return attribution.shap_tree(data, self.key, attribution.TreeEnsemble.of(self.model, self.features), self.features, background=pd.DataFrame([baseline]) if fixed else baseline)
-        rows = pd.DataFrame([baseline]) if fixed else baseline.select(*[F.col(c).cast("double").alias(c) for c in self.features]).limit(most_rows + 1).toPandas()
-        if len(rows) > most_rows:
-            raise ValueError(f"the baseline has over {most_rows} rows; summarise it first")
+            return attribution.shap_tree(data, self.key, attribution.TreeEnsemble.of(self.model, self.features), self.features, background=rows)
         return attribution.shap_sampled(data, self.key, self.model, self.features, rows, link=self.link, **options)
 
 

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.errors import PythonException
 
 from clarispark.operators import explain
 
@@ -12,3 +14,14 @@ def test_trees_take_any_number_of_baseline_rows(spark):
     base = lambda n: spark.range(n).selectExpr("CAST(id % 5 AS DOUBLE) AS a", "CAST(id % 13 AS DOUBLE) AS b")
     few, many = (explain.ShapExplainer(tree, ["a", "b"], "id", mode="origin")(data, baseline=base(n)).toPandas().sort_values(["id", "feature"]) for n in (65, 184 * 65))
     assert len(many) == 600 and np.allclose(few.value, many.value)
+
+
+def test_classes_take_any_number_of_baseline_rows(spark):
+    data = spark.range(50).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "id / 3 AS b")
+    base = spark.range(12001).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 2 AS DOUBLE) AS b")
+    model = lambda x: np.column_stack([x["a"] * 0, x["a"] + 2 * x["b"]])
+    out = explain.ShapExplainer(model, ["a", "b"], "id", mode="origin", permutations=2)(data, baseline=base, targets=[1])
+    assert out.count() == 100 and out.where("class <> 1").count() == 0
+    assert out.join(data, "id").where("abs(value - if(feature = 'a', a - 6000, 2 * (b - 6000 / 12001D))) > 1e-6").count() == 0
+    with pytest.raises(PythonException, match="no rows"):
+        explain.ShapExplainer(model, ["a", "b"], "id", mode="origin")(data, baseline=base.where("a < 0")).count()
