@@ -136,23 +136,9 @@ def shap_sampled(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.nda
         own = np.concatenate([f(x[at : at + step]) for at in range(0, len(x), step)])
         return plus(total, own, whole * size) / (size * len(orders))
 
-    if isinstance(background, pd.DataFrame):
-        rows = background[features].to_numpy(float)
-        if not len(rows):
-            raise ValueError("the background has no rows")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            step = max(1, cells // (200 * m))
-            for frame in frames:
-                for at in range(0, len(frame), step):
-                    x = frame[features].iloc[at : at + step].to_numpy(float)
-                    yield _long(key, frame[key].iloc[at : at + step], features, ended(met(None, x, rows, np.ones(len(rows))), x, len(rows)))
-
-        return df.select(key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).mapInPandas(run, schema)
-
-    def numbers(batches: list[pa.RecordBatch]) -> np.ndarray:
-        """Features, then how often a row is there."""
-        return np.concatenate([np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3, m + 4)]) for b in batches])
+    def numbers(batches: list[pa.RecordBatch], first: int) -> np.ndarray:
+        """All columns from the first one on."""
+        return np.concatenate([np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[first:]]) for b in batches])
 
     def long(keys: pa.Array, times: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         k, rows = values.shape[2], np.repeat(np.arange(len(values)), times.astype(int))
@@ -163,14 +149,32 @@ def shap_sampled(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.nda
             columns = [keys.take(pa.array(np.repeat(part, m * k))), pa.array(features).take(pa.array(each)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(part) * m)), pa.array(values[part].ravel())]
             yield pa.RecordBatch.from_arrays(columns, [key, "feature", "class", "value"])
 
+    names = [f"__f{i}" for i in range(m)]
+    doubles = [F.col(f"`{c}`").cast("double").alias(a) for c, a in zip(features, names, strict=True)]
+    keyed = df.select(F.col(f"`{key}`").alias("__key"), *doubles)
+    if isinstance(background, pd.DataFrame):
+        rows = background[features].to_numpy(float)
+        if not len(rows):
+            raise ValueError("the background has no rows")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, cells // (200 * m))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    x = numbers([part], 1)
+                    yield from long(part.column(0), np.ones(len(x)), ended(met(None, x, rows, np.ones(len(rows))), x, len(rows)))
+
+        return keyed.mapInArrow(run, schema)
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of each group come before its background."""
         group, mine, block, waiting, size, x, total = None, [], [], 0, 0.0, None, None
 
         def read() -> None:
             nonlocal block, waiting, size, x, total
-            x = numbers(mine) if x is None else x
-            z = numbers(block)
+            x = numbers(mine, 3) if x is None else x
+            z = numbers(block, 3)
             total, size = met(total, x[:, :m], z[:, :m], z[:, m]), size + z[:, m].sum()
             block, waiting = [], 0
 
@@ -198,10 +202,8 @@ def shap_sampled(df: DataFrame, key: str, model: Callable[[pd.DataFrame], np.nda
                         read()
         yield from close()
 
-    names = [f"__f{i}" for i in range(m)]
-    doubles = [F.col(f"`{c}`").cast("double").alias(a) for c, a in zip(features, names, strict=True)]
     groups = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-20 * m * df.count() // cells))
-    ours = df.select(F.col(f"`{key}`").alias("__key"), *doubles).groupBy("__key", *names).agg(F.count(F.lit(1)).alias("__n"))
+    ours = keyed.groupBy("__key", *names).agg(F.count(F.lit(1)).alias("__n"))
     ours = ours.select(F.pmod(F.xxhash64("__key", *names), F.lit(groups)).cast("int").alias("__group"), F.lit(0).alias("__second"), "__key", *names, "__n")
     theirs = background.select(*doubles).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
     theirs = theirs.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"), F.lit(1).alias("__second"), F.lit(None).cast(kind).alias("__key"), *names, "__n")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PythonException
 
-from clarispark.operators import explain
+from clarispark.operators import attribution, explain
 
 
 def test_trees_take_any_number_of_baseline_rows(spark):
@@ -25,3 +25,20 @@ def test_classes_take_any_number_of_baseline_rows(spark):
     assert out.join(data, "id").where("abs(value - if(feature = 'a', a - 6000, 2 * (b - 6000 / 12001D))) > 1e-6").count() == 0
     with pytest.raises(PythonException, match="no rows"):
         explain.ShapExplainer(model, ["a", "b"], "id", mode="origin")(data, baseline=base.where("a < 0")).count()
+
+
+def test_streamed_baselines_give_what_tables_at_hand_give(spark):
+    big = 2**60 + 1
+    rows = [(None if i % 9 == 0 else big + i % 40, float(i % 40), float(i % 3), None if i % 40 == 5 else i % 40 / 7) for i in range(120)]
+    data = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    base = spark.range(11000).selectExpr("id / 11000 AS a", "CAST(id % 17 AS DOUBLE) AS b", "CAST(id % 5 AS DOUBLE) AS c")
+    model = lambda x: np.column_stack([x["a"] * x["b"] * x["c"], x["a"] > x["b"]])
+    whole = explain.ShapExplainer(model, list("abc"), "id", mode="origin", permutations=6)(data, baseline=base)
+    assert whole.schema["id"].dataType == data.schema["id"].dataType
+    blocks = attribution.shap_sampled(data, "id", model, list("abc"), base, permutations=6, cells=3000)  # 11 blocks to a group
+    at_hand = attribution.shap_sampled(data, "id", model, list("abc"), base.toPandas(), permutations=6)
+    order = ["id", "feature", "class", "value"]
+    got, small, want = ([tuple(r) for r in x.orderBy(*order).collect()] for x in (whole, blocks, at_hand))
+    assert len(got) == len(small) == len(want) == 120 * 6
+    for out in (got, small):
+        assert [r[:3] for r in out] == [r[:3] for r in want] and np.allclose([r[3] for r in out], [r[3] for r in want], equal_nan=True)
